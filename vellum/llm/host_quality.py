@@ -107,10 +107,10 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of documents that stay, whole. The texts are read twice rather than moved once: first for the hosts, then for the rows."""
-    columns = docs.columns
     facts = written(features(docs, keep=("source",)), "facts")
-    rows = features(docs.withColumn("_text", F.col("text")), "_text", tuple(columns))
-    return with_verdicts(rows, host_verdicts(facts, "source"), "source", "doc_id").filter(verdict()).select(*columns)
+    whole = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"), F.col("source").alias("_source"), F.col("doc_id").alias("_id"))
+    rows = features(whole, "_text", ("_row", "_source", "_id"))
+    return with_verdicts(rows, host_verdicts(facts, "source"), "_source", "_id").filter(verdict()).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

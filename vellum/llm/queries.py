@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import host_quality
+from vellum.llm import host_quality, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _ALL: dict[str, tuple[Query, str | None]] = {
     "op2_host_quality": (host_quality.query, host_quality.SQL),
+    "op4_secret_scan": (secret_scan.query, None),
 }
 
 
