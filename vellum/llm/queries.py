@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import host_quality, secret_scan
+from vellum.llm import decontaminate, host_quality, secret_scan, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _ALL: dict[str, tuple[Query, str | None]] = {
     "op2_host_quality": (host_quality.query, host_quality.SQL),
     "op4_secret_scan": (secret_scan.query, None),
+    "op5_simhash": (simhash.query, None),
+    "op9_decontaminate": (decontaminate.query, decontaminate.SQL),
 }
 
 
