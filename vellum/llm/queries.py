@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import decontaminate, host_quality, packing, secret_scan, simhash, sstable
+from vellum.llm import chat_format, decontaminate, host_quality, licence_scan, packing, secret_scan, simhash, sstable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _ALL: dict[str, tuple[Query, str | None]] = {
+    "op1_licence_scan": (licence_scan.query, licence_scan.SQL),
     "op2_host_quality": (host_quality.query, host_quality.SQL),
     "op3_sstable": (sstable.query, None),
     "op4_secret_scan": (secret_scan.query, None),
     "op5_simhash": (simhash.query, None),
     "op8_packing": (packing.query, None),
     "op9_decontaminate": (decontaminate.query, decontaminate.SQL),
+    "op10_chat_format": (chat_format.query, chat_format.SQL),
 }
 
 
