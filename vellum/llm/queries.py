@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import chat_format, decontaminate, host_quality, html_extract, licence_scan, packing, secret_scan, simhash, sstable
+from vellum.llm import chat_format, decontaminate, host_quality, html_extract, licence_scan, lm_score, packing, secret_scan, simhash, sstable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ _ALL: dict[str, tuple[Query, str | None]] = {
     "op4_secret_scan": (secret_scan.query, None),
     "op5_simhash": (simhash.query, None),
     "op6_html_extract": (html_extract.query, None),
+    "op7_lm_score": (lm_score.query, None),
     "op8_packing": (packing.query, None),
     "op9_decontaminate": (decontaminate.query, decontaminate.SQL),
     "op10_chat_format": (chat_format.query, chat_format.SQL),
