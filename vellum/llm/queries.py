@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from vellum.llm import chat_format, decontaminate, host_quality, html_extract, licence_scan, lm_score, packing, secret_scan, simhash, sstable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,7 @@ _ALL: dict[str, tuple[Query, str | None]] = {
     "op8_packing": (packing.query, None),
     "op9_decontaminate": (decontaminate.query, decontaminate.SQL),
     "op10_chat_format": (chat_format.query, chat_format.SQL),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
 
 
