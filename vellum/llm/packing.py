@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm.common import slices, table, texts
-from vellum.llm.tokens import default_path, encoder
+from vellum.llm.tokens import SLICE_BYTES, default_path, encoder
 from vellum.session import written
 
 LENGTH, END_ID = 1024, 0
@@ -71,7 +71,7 @@ def _encoded(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, zipped, table_ = encoder(path), zstandard.ZstdCompressor(level=1), None
         end = END_ID.to_bytes(enc.width, "little")
-        for part in slices(batches, 1 << 20):
+        for part in slices(batches, SLICE_BYTES):
             table_ = signs(1 << 16 if enc.width == 2 else 1 << 20) if table_ is None else table_
             raw = [x + end for x in enc.encode(texts(part.column(1)))]
             key = keys([np.frombuffer(x, enc.dtype) & np.array(len(table_) - 1, enc.dtype) for x in raw], table_)

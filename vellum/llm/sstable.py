@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vellum.llm.common import slices, table, texts
-from vellum.llm.tokens import default_path, encoder
+from vellum.llm.tokens import SLICE_BYTES, default_path, encoder
 from vellum.session import scratch_path, written
 
 MAGIC, FOOTER = b"VSSTAB01", struct.Struct("<8sIQQQQQQ4x")
@@ -172,7 +172,7 @@ def _writer(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         end, shard, any_ = END_ID.to_bytes(enc.width, "little"), Writer(enc.width), False
-        for part in slices(batches, 1 << 20):
+        for part in slices(batches, SLICE_BYTES):
             any_ = True
             out = [r for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode(texts(part.column(1)))) for r in shard.add(key_of(doc_id), ids + end)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
