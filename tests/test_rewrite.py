@@ -111,3 +111,39 @@ def test_tables():
 def test_css():
     page = '<p class="a">x</p><b class=b>y</b>'
     assert R.with_css(page, {"a": {"display": "none"}, "b": {"text-transform": "uppercase", "before": "[", "after": "]"}}) == "<b class=b>[Y]</b>"
+
+
+def test_fixup():
+    line = 'a  b - c . d ! e ( f ) " '
+    assert R.fixed_up("a  b - c , d ( e ) f lst") == "a b-c, d (e) f 1st"
+    kinds = {k for _, k, _, _ in R.fixup_findings(line)}
+    assert {"multiple spaces", "spaced hyphen", "spaced full stop", "space before !", "open bracket and space", "space and close bracket", "spaces at the end"} <= kinds
+    assert R.fixup_findings("/*\na  b\n*/\n/P\nline  12\nP/\n*  *  *") == []
+    assert [k for _, k, _, _ in R.fixup_findings("« a", "fr")] == ["guillemet and space"] and R.fixup_findings("« a", "de") == []
+
+
+def test_pages_joined():
+    assert R.joined_pages("-----File: 1.png---\none wo-\n-----File: 2.png---\nrd two\n-----File: 3.png---\n\nnew") == "one word\ntwo\n\nnew"
+    assert R.joined_pages("self-\n-----File: 2.png---\nmade x", frozenset({"self-made"})) == "self-made\nx"
+    assert R.joined_pages("a--\n-----File: 2.png---\nb\nc") == "a--b\nc" and R.joined_pages("a\n-----File: 2.png---\nb") == "a\nb" and R.joined_pages("") == ""
+
+
+def test_footnotes():
+    text = "one[A] two[A] [Footnote A: see [x] here]\nthree[B]\n[Footnote B: open\nFOOTNOTES:\nend"
+    (s, e, label, anchor), second = R.footnotes(text)
+    assert (text[s:e], label, text[anchor : anchor + 3], anchor) == ("[Footnote A: see [x] here]", "A", "[A]", text.rindex("two") + 3)
+    assert text[second[0] : second[1]] == "[Footnote B: open"
+    assert R.reindexed(text).startswith("one[A] two[1] [Footnote 1: see [x] here]\nthree[2]\n[Footnote 2: ")
+    moved = R.footnotes_moved(text)
+    assert moved == "one[A] two[A] \nthree[B]\n\nFOOTNOTES:\n\n[Footnote A: see [x] here]\n\n[Footnote B: open\nend"
+    assert R.footnotes_moved("x[1]\n[Footnote 1: y]").endswith("FOOTNOTES:\n\n[Footnote 1: y]") and R.footnotes_moved("x") == "x"
+
+
+def test_edits_and_labels():
+    assert R.edited("abcdef", [(0, 1, "X"), (4, 6, ""), (0, 3, "Y"), (2, 2, "-")]) == "Xb-cd"
+    assert [R.roman(n) for n in (1, 4, 9, 44, 1999)] == ["I", "IV", "IX", "XLIV", "MCMXCIX"]
+
+
+def test_phrase_verdicts():
+    assert R.phrase_verdict("normal", 1, 3) and not R.phrase_verdict("normal", 3, 1) and not R.phrase_verdict("tolerant", 1, 3) and R.phrase_verdict("tolerant", 0, 1)
+    assert R.phrase_verdict("normal", 0, 0) and not R.phrase_verdict("normal", 0, 0, True) and R.phrase_verdict("paranoid", 0, 0, True)

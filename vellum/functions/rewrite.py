@@ -358,3 +358,174 @@ def with_css(page: str, css: dict[str, dict[str, str]]) -> str:
 
         page = re.sub(rf"(<(\w+)[^<>]* class=[\"']?{re.escape(name)}[\"']?[^<>]*>)([^<]*)(</\2>)", apply, page)
     return page
+
+
+#: Languages whose guillemets point inwards, and the fix-up's kinds in their order: name, pattern, replacement.
+INWARD = frozenset("de hr cs da hu pl sr sk sl sv".split())
+FIXUPS = [
+    ("multiple spaces", r"(?<=\S)  +(?=\S)", " "), ("spaced hyphen", r" +-(?!-) *|(?<!-)- +", "-"), ("spaced full stop", r" +\.(?![.\d])", "."), ("space before !", r" +!", "!"), ("space before ?", r" +\?", "?"), ("space before comma", r" +,", ","),
+    ("space before colon", r" +:", ":"), ("space before semicolon", r" +;", ";"), ("open quote and space", r"^\" +|([“‘]) +", None), ("space and close quote", r" +\"$| +([”])", None), ("open bracket and space", r"([(\[{]) +", r"\1"), ("space and close bracket", r" +([)\]}])", r"\1"),
+    ("spaces at the end", r" +$", ""), ("asterisks", r"^ *(?:\* *){4,}$", "       *       *       *       *       *"), ("l for 1", r"\bl(?=st\b)|\bll(?=th\b)", None), ("dots", r"(?<![.!? \"“‘])\.\.\.(?![.!?])", " ..."),
+]
+
+
+def fixup_findings(text: str, language: str = "en") -> list[tuple[int, str, int, int]]:
+    """(line, kind, start, end) of what the basic fix-up would change; blocks whose lines stay are skipped, and the numbers at the ends of a poem's lines aren't looked at."""
+    guillemets = (r"([»]) +| +([«])" if language in INWARD else r"([«]) +| +([»])")
+    kinds = [(n, re.compile(p)) for n, p, _ in FIXUPS] + [("guillemet and space", re.compile(guillemets))]
+    out, block = [], ""
+    for number, line in enumerate(text.split("\n"), 1):
+        if m := re.match(r"/([$*XFPL])", line, re.I):
+            block = m[1].upper()
+            continue
+        if block and re.match(rf"{re.escape(block)}/", line, re.I):
+            block = ""
+            continue
+        if block in ("$", "*", "X", "F"):
+            continue
+        if block == "P":
+            line = re.sub(r"\s{2,}\d+\s*$", "", line)
+        thought = re.fullmatch(r"[ *]*\*[ *]*", line)
+        out += [(number, name, m.start(), m.end()) for name, p in kinds if not (thought and name == "multiple spaces") for m in p.finditer(line)]
+    return out
+
+
+def fixed_up(line: str) -> str:
+    """A line after all fix-ups."""
+    for name, pattern, by in FIXUPS:
+        if name.startswith("l for"):
+            line = re.sub(pattern, lambda m: "1" * len(m[0]), line)
+        elif by is None:
+            line = re.sub(pattern, lambda m: m[0].strip(), line)
+        else:
+            line = re.sub(pattern, by, line)
+    return line
+
+
+def joined_pages(text: str, keep: frozenset[str] = frozenset()) -> str:
+    """A text without page separators: a hyphen at a page's end joins the word (and stays where the joined word is in keep), a dash joins without space, blank lines behind the separator stay as a break, other pages are joined as lines."""
+    lines, out, i = text.split("\n"), [], 0
+    while i < len(lines):
+        if not lines[i].startswith("-----File:"):
+            out.append(lines[i])
+            i += 1
+            continue
+        while i < len(lines) and lines[i].startswith("-----File:"):
+            i += 1
+        blanks = 0
+        while i + blanks < len(lines) and not lines[i + blanks].strip():
+            blanks += 1
+        while out and not out[-1].strip():
+            out.pop()
+        if not out or i + blanks == len(lines):
+            i += blanks
+            continue
+        if blanks:
+            out += [""] * (4 if blanks >= 4 else 2 if blanks >= 2 else 1)
+            i += blanks
+            continue
+        last, first, _, rest = out[-1].rstrip("*"), *lines[i].lstrip("*").partition(" ")
+        if last.endswith(("--", "—")):
+            out[-1] = last + first
+        elif last.endswith("-"):
+            stem = last.rsplit(" ", 1)[-1][:-1]
+            out[-1] = (last if f"{stem}-{first}" in keep else last[:-1]) + first
+        else:
+            i += 0
+            continue
+        lines[i] = rest
+        if not rest:
+            i += 1
+    return "\n".join(out)
+
+
+#: The footnotes' start, and the line under which moved footnotes stand.
+FOOTNOTE, LANDING = re.compile(r"\[ *footnote *([^:\]\n]*):? ?", re.I), "FOOTNOTES:"
+
+
+def footnotes(text: str) -> list[tuple[int, int, str, int]]:
+    """(start, end, label, place of its anchor or -1) of each footnote: the end is the bracket that closes it over one nested level, else the line's end; the anchor is the nearest [label] above that no block mark or backslash precedes."""
+    out = []
+    for m in FOOTNOTE.finditer(text):
+        depth, end = 0, -1
+        for k in range(m.start(), len(text)):
+            depth += (text[k] == "[") - (text[k] == "]")
+            if depth > 2:
+                break
+            if not depth:
+                end = k + 1
+                break
+        if end < 0:
+            end = text.find("\n", m.start())
+            end = len(text) if end < 0 else end
+        label, anchor = m[1].strip(), -1
+        if label:
+            anchor = text.rfind(f"[{label}]", 0, m.start())
+            while anchor >= 0 and re.search(r"(?:/[#$*FILPXCR]|\\)\Z", text[max(0, anchor - 2) : anchor]):
+                anchor = text.rfind(f"[{label}]", 0, anchor)
+        out.append((m.start(), end, label, anchor))
+    return out
+
+
+def footnotes_moved(text: str) -> str:
+    """Footnotes under the next landing line below each, in their order, or under one at the end."""
+    found = footnotes(text)
+    if not found:
+        return text
+    zones = [m.end() for m in re.finditer(rf"^{LANDING}$", text, re.M)]
+    notes: dict[int, list[str]] = {}
+    for start, end, _, _ in found:
+        notes.setdefault(next((z for z in zones if z >= end), -1), []).append(text[start:end])
+    out, at = [], 0
+    for place in sorted([*(f[0] for f in found), *zones]):
+        here = next((f for f in found if f[0] == place), None)
+        if here:
+            out.append(text[at : here[0]])
+            at = here[1]
+        else:
+            out.append(text[at:place] + "".join(f"\n\n{n}" for n in notes.get(place, [])))
+            at = place
+    out.append(text[at:])
+    if notes.get(-1):
+        out.append(f"\n\n{LANDING}" + "".join(f"\n\n{n}" for n in notes[-1]))
+    return re.sub(r"\n{3,}", "\n\n", "".join(out))
+
+
+def reindexed(text: str, style: str = "number") -> str:
+    """Footnotes and their anchors with new labels in order: numbers, letters (A to Z, AA) or Roman numerals."""
+    edits = []
+    for i, (start, _, label, anchor) in enumerate(footnotes(text), 1):
+        new = {"number": str(i), "letter": chr(65 + (i - 1) % 26) * ((i - 1) // 26 + 1), "roman": roman(i)}[style]
+        m = FOOTNOTE.match(text, start)
+        edits.append((start, m.end(), f"[Footnote {new}: "))
+        if anchor >= 0:
+            edits.append((anchor, anchor + len(label) + 2, f"[{new}]"))
+    return edited(text, edits)
+
+
+def roman(n: int) -> str:
+    out = ""
+    for value, sign in ((1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")):
+        out += sign * (n // value)
+        n %= value
+    return out
+
+
+def edited(text: str, edits: list[tuple[int, int, str]]) -> str:
+    """Edits (start, end, replacement) put in from right to left; of edits that overlap the leftmost counts."""
+    kept: list[tuple[int, int, str]] = []
+    for e in sorted(set(edits)):
+        if not kept or e[0] >= kept[-1][1]:
+            kept.append(e)
+    for start, end, new in reversed(kept):
+        text = text[:start] + new + text[end:]
+    return text
+
+
+def phrase_verdict(level: str, n: int, swapped: int, half_known: bool = False) -> bool:
+    """Is a phrase suspect, seen n times, and swapped times with the partner word? level: tolerant, normal, paranoid."""
+    if level == "tolerant":
+        return n == 0 and swapped > 0
+    if n == swapped == 0:
+        return level == "paranoid" or not half_known
+    return swapped > 0 and (n == 0 or swapped / n > 1)

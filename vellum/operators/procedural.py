@@ -44,7 +44,7 @@ native("HTM-40 HTM-42 HTM-45 HTM-46 HTM-52 HTM-53 HTM-54 HTM-55", "generated_pag
 native("HTM-60 HTM-62 HTM-37", "styled_pages", "Pages under rules of style for classes.")(_changed(lambda t: R.with_css(t, {"ad": {"display": "none"}}), "pages", "page_id", "html"))
 
 
-@native("WIN-14 WIN-15 WIN-07", "curly_quotes")
+@native("WIN-14 WIN-15", "curly_quotes")
 def curly_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is odd about quotes when they are made curly, by place; texts without quotes give no row."""
     return per_text(_documents(spark, sf_dir), "doc_id", "text", lambda t: R.curly_quotes(t)[1], "place int, why string")
@@ -90,3 +90,22 @@ def stepped_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         return [(len(back), "\n".join("|".join(r) for r in R.adjusted_column(back, 0, 10)))]
 
     return per_text(_documents(spark, sf_dir), "doc_id", "text", made, "n_rows int, grid string")
+
+
+@native("WIN-07", "basic_fixup")
+def basic_fixup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the basic fix-up would change: line, kind, start and end."""
+    return per_text(_documents(spark, sf_dir), "doc_id", "text", R.fixup_findings, "line_no int, kind string, start_col int, end_col int")
+
+
+def _book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The book fixture's texts: doc_id, text."""
+    from vellum.plans import base, dialect
+
+    text = lambda d: base.ctes(base.book(d)) + "SELECT doc_id, listagg(line, char(10)) WITHIN GROUP (ORDER BY line_no) AS text FROM book GROUP BY doc_id"
+    return dialect.run(spark, text, documents=_documents(spark, sf_dir))
+
+
+native("WIN-24 WIN-25 WIN-26", "joined_page_texts", "Books without page separators, words joined over page breaks.")(lambda spark, sf_dir: per_text(_book(spark, sf_dir), "doc_id", "text", lambda t: [(R.joined_pages(t),)], "changed string"))
+native("WIN-28 WIN-29 WIN-31", "moved_footnotes", "Books with footnotes numbered anew and moved to a landing line.")(lambda spark, sf_dir: per_text(_book(spark, sf_dir), "doc_id", "text", lambda t: [(R.footnotes_moved(R.reindexed(t)),)], "changed string"))
+native("JOI-26 WIN-34", "footnote_records", "Footnotes of books with label, start, end and anchor as places in the text.")(lambda spark, sf_dir: per_text(_book(spark, sf_dir), "doc_id", "text", R.footnotes, "start int, end_at int, label string, anchor int"))
