@@ -170,7 +170,7 @@ def secrets(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """The rows of documents with each stretch of touching or overlapping spans replaced by mask; n_chars follows where the text changed."""
-    limits = cuts(written(scanned(docs, "text", ()).filter(F.size("candidates") > 0), "candidates"))
+    limits = cuts(written(scanned(docs, "text", ()).select("candidates"), "candidates"))
     whole = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"))
     rows = scanned(whole, "_text", ("_row", "_text")).select("_row", "_text", _chosen(limits).alias("_all"))
 
