@@ -147,3 +147,10 @@ def test_edits_and_labels():
 def test_phrase_verdicts():
     assert R.phrase_verdict("normal", 1, 3) and not R.phrase_verdict("normal", 3, 1) and not R.phrase_verdict("tolerant", 1, 3) and R.phrase_verdict("tolerant", 0, 1)
     assert R.phrase_verdict("normal", 0, 0) and not R.phrase_verdict("normal", 0, 0, True) and R.phrase_verdict("paranoid", 0, 0, True)
+
+
+def test_options():
+    from vellum.options import Options
+
+    changed = Options().but(long_line=80)
+    assert changed.saved() == {"long_line": 80} and Options.loaded({"long_line": 80, "gone": 1}) == changed and Options.loaded({}) == Options()
