@@ -155,7 +155,7 @@ SELECT ch, count(*) AS n, min(o.doc_id) AS first_doc FROM odd o LEFT JOIN greek
 
 def _lexicon(d: Dialect) -> str:
     """The lexicon of the checks below: words that twenty documents or more have."""
-    return "lexicon AS (SELECT word FROM (SELECT word, count(DISTINCT doc_id) AS docs FROM tokens GROUP BY word) x WHERE docs >= 20)"
+    return "lexicon AS (SELECT word FROM words WHERE docs >= 20)"
 
 
 def _good(d: Dialect, x: str = "word") -> str:
@@ -168,7 +168,7 @@ def misspellings(d: Dialect) -> str:
     """Words that no form of is in the lexicon, nor both parts beside an inner apostrophe, ordinals, years and decades left out, with counts up to the threshold and every place."""
     inner = "^([^'’]+)['’](.+)$"
     number = "^(?:[0-9]+(?:st|nd|rd|th|s|d)?|[0-9]{4}['’]?s|sc)$"
-    return base.ctes(base.corpus_words(d), _lexicon(d), f"forms AS ({d.explode('word, n', _good(d), 'words', 'k', 'form')})", f"parts AS (SELECT word, {d.group('word', inner, 1)} AS a, {d.group('word', inner, 2)} AS b FROM words WHERE {d.match('word', inner)})", "known AS (SELECT f.word FROM forms f JOIN lexicon l ON l.word = f.form UNION SELECT p.word FROM parts p JOIN lexicon a ON a.word = p.a JOIN lexicon b ON b.word = p.b)",
+    return base.ctes(base.corpus_words(d, docs=True), _lexicon(d), f"forms AS ({d.explode('word, n', _good(d), 'words', 'k', 'form')})", f"parts AS (SELECT word, {d.group('word', inner, 1)} AS a, {d.group('word', inner, 2)} AS b FROM words WHERE {d.match('word', inner)})", "known AS (SELECT f.word FROM forms f JOIN lexicon l ON l.word = f.form UNION SELECT p.word FROM parts p JOIN lexicon a ON a.word = p.a JOIN lexicon b ON b.word = p.b)",
         f"bad AS (SELECT w.word, w.n FROM words w LEFT JOIN known k ON k.word = w.word WHERE k.word IS NULL AND NOT {d.match('w.word', number)} AND w.n <= {RARE})") + "SELECT b.word, b.n, t.doc_id, t.line_no, t.token_no FROM bad b JOIN tokens t ON t.word = b.word"
 
 
@@ -190,14 +190,14 @@ near AS (SELECT DISTINCT s.word, s.n, g.low AS other FROM suspect_keys s JOIN go
 @query("JOI-06")
 def suggestions(d: Dialect) -> str:
     """Up to ten lexicon words at one edit of a rare word, in alphabetical order, with the word's capital restored."""
-    return base.ctes(base.corpus_words(d), _lexicon(d), _near(d), "ranked AS (SELECT word, other, row_number() OVER (PARTITION BY word ORDER BY other) AS k FROM near)") + f"""
+    return base.ctes(base.corpus_words(d, docs=True), _lexicon(d), _near(d), "ranked AS (SELECT word, other, row_number() OVER (PARTITION BY word ORDER BY other) AS k FROM near)") + f"""
 SELECT word, CASE WHEN {d.match('word', '^' + chr(92) + 'p{Lu}')} THEN concat(upper(substr(other, 1, 1)), substr(other, 2)) ELSE other END AS suggestion, k FROM ranked WHERE k <= 10"""
 
 
 @query("JOI-07")
 def edit_distance_pairs(d: Dialect) -> str:
     """Rare words at edit distance one of a lexicon word, with the count of both. Candidates meet by a shared form with one letter less, so no pair of words is compared without one."""
-    return base.ctes(base.corpus_words(d), _lexicon(d), _near(d), f"totals AS (SELECT {lower(d, 'word')} AS low, sum(n) AS n FROM words GROUP BY {lower(d, 'word')})") + "SELECT x.word, x.n, x.other, CAST(t.n AS BIGINT) AS n_other FROM near x JOIN totals t ON t.low = x.other"
+    return base.ctes(base.corpus_words(d, docs=True), _lexicon(d), _near(d), f"totals AS (SELECT {lower(d, 'word')} AS low, sum(n) AS n FROM words GROUP BY {lower(d, 'word')})") + "SELECT x.word, x.n, x.other, CAST(t.n AS BIGINT) AS n_other FROM near x JOIN totals t ON t.low = x.other"
 
 
 @query("JOI-07", "edit_distance_two")
@@ -205,7 +205,7 @@ def edit_distance_two(d: Dialect) -> str:
     """Rare words of 6 to 12 plain letters at edit distance two of a lexicon word. Two words at distance two have a common form with at most two letters less; who shares one is compared."""
     two = f"flatten({d.each(_deletions(d, 'low'), 'x', _deletions(d, 'x'))})"
     ok = d.match(lower(d, "word"), "^[a-z]{6,12}$")
-    return base.ctes(base.corpus_words(d), _lexicon(d), f"suspects AS (SELECT word, n, {lower(d, 'word')} AS low FROM words WHERE n <= {RARE} AND {ok})", f"good AS (SELECT DISTINCT {lower(d, 'word')} AS low FROM lexicon WHERE {ok})",
+    return base.ctes(base.corpus_words(d, docs=True), _lexicon(d), f"suspects AS (SELECT word, n, {lower(d, 'word')} AS low FROM words WHERE n <= {RARE} AND {ok})", f"good AS (SELECT DISTINCT {lower(d, 'word')} AS low FROM lexicon WHERE {ok})",
         f"good_keys AS ({d.explode('low', d.distinct(two), 'good', 'k', 'form')})", f"suspect_keys AS ({d.explode('word, n, low', d.distinct(two), 'suspects', 'k', 'form')})",
         "met AS (SELECT DISTINCT s.word, s.n, s.low, g.low AS other FROM suspect_keys s JOIN good_keys g ON g.form = s.form)") + "SELECT word, n, other FROM met WHERE levenshtein(low, other) = 2"
 

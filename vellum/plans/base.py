@@ -55,8 +55,13 @@ def words(d: Dialect) -> str:
     return "words AS (SELECT word, count(*) AS n FROM tokens GROUP BY word)"
 
 
-def corpus_words(d: Dialect) -> str:
-    return f"{lines(d)},\n{text_lines(d)},\n{tokens(d)},\n{words(d)}"
+def words_and_docs(d: Dialect) -> str:
+    """word, n, and docs: how many documents have it. Counted by document first, which needs no second look at the texts. The filter, always true, has every use of it ask for the same columns, so that Spark computes it once."""
+    return "words AS (SELECT * FROM (SELECT word, CAST(sum(c) AS BIGINT) AS n, count(*) AS docs FROM (SELECT doc_id, word, count(*) AS c FROM tokens GROUP BY doc_id, word) g GROUP BY word) w WHERE n > 0 AND docs > 0)"
+
+
+def corpus_words(d: Dialect, docs: bool = False) -> str:
+    return f"{lines(d)},\n{text_lines(d)},\n{tokens(d)},\n{words_and_docs(d) if docs else words(d)}"
 
 
 def blank(d: Dialect, x: str = "line") -> str:
