@@ -32,11 +32,13 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def test_encoder(texts, plain):
-    enc = tokens.encoder(tokens.default_path())
-
-    got = enc.encode([t.encode() for t in texts])
-    assert [np.frombuffer(x, enc.dtype).tolist() for x in got] == [p[:-1] for p in plain]
+def test_encoder(texts, plain, monkeypatch):
+    for most in (tokens.REMEMBERED, 3, 0):
+        monkeypatch.setattr(tokens, "REMEMBERED", most)
+        enc = tokens.Encoder(tokens.default_path())
+        for at in range(0, len(texts), 40):
+            got = enc.encode([t.encode() for t in texts[at : at + 40]])
+            assert [np.frombuffer(x, enc.dtype).tolist() for x in got] == [p[:-1] for p in plain[at : at + 40]]
 
 
 def test_shards(spark, texts, plain):
@@ -110,3 +112,9 @@ def test_neighbours_are_alike():
     docs = [rng.choice(topics[i % 8], 400) for i in range(160)]
     order = np.argsort(P.keys(docs, P.signs(1 << 16)), kind="stable")
     assert (np.diff(order % 8) == 0).mean() > 0.6
+
+
+def test_no_documents(spark):
+    path = scratch_path(spark, "none")
+    S.write(spark.createDataFrame([], "doc_id long, text string"), path, tokens.default_path())
+    assert S.read_back(spark, path).count() == 0 and S.lookup(spark, path, [1]).count() == 0

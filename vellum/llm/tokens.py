@@ -2,8 +2,8 @@
 
 A byte-level pre-tokenizer lets a single space begin the next token, never puts letters of both sides of it into one, and ends a token where letters are followed by another
 character. So a text may be cut at every space that has other characters than white space on both sides, a piece may be cut behind its leading letters, and the parts' ids, joined, are the
-text's. Cutting, telling the different parts and joining their ids are Arrow and numpy operations over the batch; different words go to the library many at a time. Texts with white
-space beside a space, and all texts where the tokenizer is of another kind, are encoded whole.
+text's. Cutting, telling the different parts and joining their ids are Arrow and numpy operations over the batch; different words go to the library many at a time, and the first REMEMBERED
+words that a worker meets only once. Texts with white space beside a space, and all texts where the tokenizer is of another kind, are encoded whole.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 
 #: Words of a text for the library, and such texts it gets together.
 AT_ONCE, TOGETHER = 250, 16
+#: Words whose ids a worker keeps.
+REMEMBERED = 300_000
 #: Text to encode at once: the larger, the more often its words occur again.
 SLICE_BYTES = 6 << 20
 #: Leading letters, and a tail that begins with an ASCII character that is no letter.
@@ -37,6 +39,7 @@ class Encoder:
         self.dtype = np.dtype(f"<u{self.width}")
         made = json.loads(self._tokenizer.to_str())
         pre = made.get("pre_tokenizer") or {}
+        self._known, self._known_ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.from_numpy_dtype(self.dtype)))
         self._cuts = made.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
 
     def _direct(self, texts: list[str]) -> list[bytes]:
@@ -59,6 +62,20 @@ class Encoder:
                 values.append(ids)
         return np.concatenate(sizes or [np.zeros(0, np.int64)]), np.concatenate(values or [np.zeros(0, self.dtype)])
 
+    def _remembered(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of words, most of which have been met before."""
+        place = pc.index_in(words, value_set=self._known)
+        new = words.filter(place.is_null())
+        sizes, values = self._words(new.to_pylist())
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
+        at = pc.fill_null(place, -1).to_numpy().astype(np.int64)
+        at[at < 0] = len(self._known) + np.arange(len(new))
+        taken = pa.concat_arrays([self._known_ids, lists]).take(pa.array(at))
+        room = REMEMBERED - len(self._known)
+        if room > 0 and len(new):
+            self._known, self._known_ids = pa.concat_arrays([self._known, new.slice(0, room)]), pa.concat_arrays([self._known_ids, lists.slice(0, room)])
+        return np.diff(taken.offsets.to_numpy()).astype(np.int64), taken.flatten().to_numpy()
+
     def _parts(self, pieces: pa.Array) -> tuple[pa.ListArray, np.ndarray, np.ndarray]:
         """Of different pieces, each behind a space: a list of ids per part, and each piece's first and second part."""
         cut = pc.extract_regex(pieces, _PARTS)
@@ -66,7 +83,7 @@ class Encoder:
         words = pc.struct_field(cut, "word").filter(pa.array(plain)).dictionary_encode()
         tails = pc.struct_field(cut, "tail").filter(pa.array(plain)).dictionary_encode()
         others = pieces.filter(pa.array(~plain)).to_pylist()
-        made = [self._words(words.dictionary.to_pylist()), self._ragged(self._direct([t or "" for t in tails.dictionary.to_pylist()])), self._ragged(self._direct([f" {p}" for p in others])), self._ragged([b""])]
+        made = [self._remembered(words.dictionary), self._ragged(self._direct([t or "" for t in tails.dictionary.to_pylist()])), self._ragged(self._direct([f" {p}" for p in others])), self._ragged([b""])]
         starts = np.cumsum([0, *(len(m[0]) for m in made)])
         first, second = np.empty(len(pieces), np.int64), np.full(len(pieces), starts[3])
         first[plain], first[~plain] = words.indices.to_numpy(), starts[2] + np.arange(len(others))
