@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import rewrite as R
+from vellum.plans.dialect import spread
 from vellum.plans.publish import native
 
 
@@ -23,7 +24,7 @@ def per_text(df: DataFrame, key: str, text: str, make: Callable[[str], list[tupl
             rows = [(k, *r) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in make(t or "")]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i + 1] for r in rows], t) for i, t in enumerate(types))], [key, *names])
 
-    return df.select(F.col(key).cast("long").alias(key), F.col(text).alias("text")).mapInArrow(run, f"{key} long, {schema}")
+    return spread(df.select(F.col(key).cast("long").alias(key), F.col(text).alias("text"))).mapInArrow(run, f"{key} long, {schema}")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,6 @@ the engines spell a function differently, the dialect has a method for it. Patte
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import PurePosixPath
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -225,5 +223,11 @@ def used(text: Text) -> list[str]:
     return [t for t in TABLES if SPARK.table(t) in sql]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The table over all cores where its files give fewer parts than there are, as with a single small file; else as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def over_folder(text: Text) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: run(spark, text, **{t: spark.read.parquet(f"{sf_dir}/{PurePosixPath(t)}.parquet") for t in used(text)})
+    return lambda spark, sf_dir: run(spark, text, **{t: spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in used(text)})
