@@ -1,5 +1,9 @@
 """op1: real licence texts, short notices, odd rows; and DuckDB's answer to the same SQL."""
 
+import random
+import re
+from re import _parser
+
 import duckdb
 import pytest
 
@@ -69,3 +73,40 @@ def test_sql(docs):
     want = sorted(con.execute(L.SQL).fetchall())
     assert sorted(tuple(r) for r in L.scan(docs).collect()) == want
     assert L.scan(docs.limit(0)).count() == 0
+
+
+def test_cues_leave_no_sentence_out(spark):
+    cases = [
+        ("This work is released under GPLv3.", "GPL-3.0-only"), ("Published under the GPLv2 only.", "GPL-2.0-only"), ("Distributed under the LGPLv2.1.", "LGPL-2.1-only"), ("Released under CC0.", "CC0-1.0"),
+        ("This file is in the public\ndomain.", "Public-Domain"), ("# This file is in the public\n# domain.", "Public-Domain"), ("Available under creative\ncommons attribution 4.0.", "CC-BY-4.0"), ("Published under CC\nBY 4.0.", "CC-BY-4.0"), ('Published under "G"PLv3.', "GPL-3.0-only"),
+    ]
+    got = {r["doc_id"]: r["licences"] for r in L.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(cases))] == [x for _, x in cases]
+
+
+def _sample(rng, parsed):
+    out = ""
+    for op, x in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(x)
+        elif name == "ANY":
+            out += "x"
+        elif name == "IN":
+            out += chr(rng.choice(x)[1])
+        elif name == "SUBPATTERN":
+            out += _sample(rng, x[-1])
+        elif name == "BRANCH":
+            out += _sample(rng, rng.choice(x[1]))
+        else:
+            assert name == "MAX_REPEAT", name
+            out += "".join(_sample(rng, x[2]) for _ in range(rng.randint(x[0], min(x[1], x[0] + 1))))
+    return out
+
+
+def test_every_sentence_has_a_cue():
+    rng = random.Random(4)
+    for name, pattern in L.SENTENCES:
+        for _ in range(200):
+            s = _sample(rng, _parser.parse(pattern))
+            assert re.fullmatch(pattern, s) and re.search(L.CUES if name != "AllRights" else L.MORE_CUES, s), (name, s)

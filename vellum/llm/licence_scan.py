@@ -3,7 +3,7 @@
 A text's sentences are normalised (letters of ASCII to lower case, no quotes, everything but letters, digits and a few signs to one space) and mapped to identifiers of known licence sentences. The ordered
 rules then go over the sequence of identifiers: a rule whose pattern occurs names its licence and takes the identifiers it matched away, so later, weaker rules see only what is left.
 Sentences are read from paragraphs, in which line ends are spaces, and from single lines; what only lines give comes behind what paragraphs give.
-Only sentences with one of the key words are looked at, and only in texts that have one. All of it is DataFrame expressions in the document's row; nothing is shuffled.
+Only sentences with a part that all known sentences have one of are looked at, and only in texts that have one, read as paragraphs are, without comment signs and line ends. All of it is DataFrame expressions in the document's row; nothing is shuffled.
 
 Null and empty texts have no sentences and no licences. Repeated rows are scanned one by one. An empty table gives an empty result.
 """
@@ -20,6 +20,10 @@ from vellum.llm.common import table
 KEYWORDS = "licen[sc]e|copyright|copyleft|permission|warrant|liab|redistribut|free software|public domain|creative commons|\\bcc0?[ -]|spdx|open source|\\b[al]?gpl\\b"
 #: A sentence of a text that has one of the above may also have one of these.
 MORE_KEYWORDS = "all rights|as is|software|gnu"
+#: What every sentence below has, each in one word, as words may stand on two lines. KEYWORDS and MORE_KEYWORDS are the SQL's, which leave some of the sentences out.
+CUES = "licen[sc]|copyright|permission|warrant|liab|redistribut|software|domain|commons|(?<![a-z0-9])cc0?|spdx|gpl|gnu|applicable|endorse|\\(c\\)"
+#: A sentence of a text that has one of the above may also have this: all rights reserved names no licence by itself, and the SQL doesn't count it alone.
+MORE_CUES = "rights"
 _COMMENT = r"(?m)^[ \t]*(?:#+|//+|\*+|;+|--+|/\*+|<!--)?[ \t]*"
 
 _BY = "(?:this (?:work|file|software|program|code|document|text|project) is )?(?:released|licen[sc]ed|distributed|available|published|made available|provided)"
@@ -93,22 +97,25 @@ def _rules() -> list[tuple[str, str]]:
 SENTENCES, RULES = _sentences(), _rules()
 
 
-def _normal(s: Column) -> Column:
-    low = F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ\"'", "abcdefghijklmnopqrstuvwxyz")
+def _low(s: Column) -> Column:
+    return F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ\"'", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _normal(low: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(F.regexp_replace(low, "[^a-z0-9.,()/+-]+", " ")), "^[ .,/+-]+|[ .,/-]+$", ""))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, sentence_ids, licences and n_unruled (identifiers that no rule took) of each row of documents (doc_id, text)."""
     text = F.coalesce("text", F.lit(""))
-    cue = text.rlike(f"(?i){KEYWORDS}")
     bare = F.regexp_replace(text, _COMMENT, "")
     flat = F.regexp_replace(F.regexp_replace(bare, "\\n[ \\t]*\\n", "\u2029"), "\\n", " ")
     empty = F.array().cast("array<string>")
+    cue = _low(flat).rlike(CUES)
     marked = docs.select("doc_id", F.when(cue, F.split(flat, "[.;!?]+[ \u2029]+|\u2029")).otherwise(empty).alias("paragraphs"), F.when(cue, F.split(bare, "\\n|[.;!?]+ +")).otherwise(empty).alias("lines"))
 
     def kept(c: str) -> Column:
-        return F.filter(F.transform(F.filter(c, lambda s: s.rlike(f"(?i){KEYWORDS}|{MORE_KEYWORDS}")), _normal), lambda s: s != "")
+        return F.filter(F.transform(F.filter(F.transform(c, _low), lambda s: s.rlike(f"{CUES}|{MORE_CUES}")), _normal), lambda s: s != "")
 
     def named(c: str) -> Column:
         patterns = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(f"^(?:{p})$").alias("p")) for i, p in SENTENCES))
