@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from vellum.plans import base
-from vellum.plans.dialect import Dialect
-from vellum.plans.publish import query
+from vellum.plans.dialect import Dialect, over_folder
+from vellum.plans.publish import native, query
+from vellum.session import written
 
 #: Letters and their forms without accents, and ligatures with their two letters.
 ACCENTED = "àáâãäåèéêëìíîïñòóôõöùúûüýÿçÀÁÂÃÄÅÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝÇ"
@@ -237,6 +245,45 @@ def word_list_report(d: Dialect) -> str:
     return base.ctes(base.corpus_words(d), "top AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS place FROM (SELECT word, n FROM words ORDER BY n DESC, word LIMIT 100) w)") + f"SELECT place, concat(lpad({d.string('n')}, 8, ' '), '  ', word) AS line FROM top"
 
 
+#: Letters that don't fall into a letter and a mark.
+_OUTLIERS = str.maketrans(dict(zip("æ ǽ đ ð ƒ ħ ı ł ø ǿ œ ß ŧ Æ Ǽ Ð Ƒ Ħ I Ł Ø Ǿ Œ ẞ Ŧ Þ þ".split(), "ae ae d d f h i l o o oe ss t AE AE D F H I L O O OE SS T TH th".split())))
+
+
+def _bare(word: str) -> str:
+    """Without diacritics."""
+    return "".join(c for c in unicodedata.normalize("NFD", word.translate(_OUTLIERS)) if not unicodedata.combining(c))
+
+
+def _sort_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each word with its count, its letters without diacritics, small and as they are."""
+    for batch in batches:
+        plain = [_bare(w) for w in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([w.lower() for w in plain], pa.string()), pa.array(plain, pa.string())], ["word", "n", "low", "plain"])
+
+
+def listed(words: DataFrame) -> DataFrame:
+    """sorted_by (letters, count, length), place and line of every one of the words (word, n). Rows are sorted by ranges; a row's place is its place in the range and the sizes of those before."""
+    keyed = written(words.select("word", "n").mapInArrow(_sort_keys, "word string, n long, low string, plain string"), "words")
+    total = keyed.agg(F.count("*").alias("v"), F.max("n").alias("most")).first()
+    orders = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(name).alias("sorted_by"), x.cast("long").alias("first")) for k, (name, x) in enumerate((("letters", F.lit(0)), ("count", -F.col("n")), ("length", -F.char_length("word"))))))
+    keys = ["k", "first", "low", "plain", "word"]
+    rows = keyed.withColumn("_o", F.explode(orders)).select("_o.*", "word", "n", "low", "plain").repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranged = written(rows.select("sorted_by", "word", "n", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "listed")
+    before, at = [], 0
+    for r in ranged.groupBy("part").count().orderBy("part").collect():
+        before.append((r["part"], at))
+        at += r["count"]
+    offsets = words.sparkSession.createDataFrame(before, "part int, before long")
+    line = F.concat(F.lpad(F.col("n").cast("string"), len(str(total["most"] or 0)), " "), F.lit("  "), F.col("word"))
+    return ranged.join(F.broadcast(offsets), "part").select("sorted_by", ((F.col("at") + F.col("before")) % F.lit(max(1, total["v"])) + 1).alias("place"), line.alias("line"))
+
+
+@native("RES-16", "word_list_orders")
+def word_list_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole word list as the report shows it, by letters, by falling count and by falling length; counts aligned to the right."""
+    return listed(over_folder(word_counts)(spark, sf_dir))
+
+
 @query("JOI-08 JOI-09 JOI-10 JOI-11 JOI-12")
 def phrase_suspects(d: Dialect) -> str:
     """A word that a partner is often read for (en/er), in a phrase of three whose form with the partner is more frequent in the corpus; with both counts. Phrases of two decide where that of three is unknown."""
