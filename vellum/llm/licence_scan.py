@@ -2,8 +2,8 @@
 
 A text's sentences are normalised (letters of ASCII to lower case, no quotes, everything but letters, digits and a few signs to one space) and mapped to identifiers of known licence sentences. The ordered
 rules then go over the sequence of identifiers: a rule whose pattern occurs names its licence and takes the identifiers it matched away, so later, weaker rules see only what is left.
-Sentences are read from paragraphs, in which line ends are spaces, and from single lines; what only lines give comes behind what paragraphs give.
-Only sentences with a part that all known sentences have one of are looked at, and only in texts that have one, read as paragraphs are, without comment signs and line ends. All of it is DataFrame expressions in the document's row; nothing is shuffled.
+Sentences are read from paragraphs, in which line ends are spaces, and from single lines; what only lines give comes behind what paragraphs give, in the lines' order, repeats included.
+Only sentences with a part that all known sentences have one of (CUES) are compared with the table, and only texts that have one are cut into sentences, which leaves none out. All of it is DataFrame expressions in the document's row; nothing is shuffled.
 
 Null and empty texts have no sentences and no licences. Repeated rows are scanned one by one. An empty table gives an empty result.
 """
@@ -17,13 +17,8 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import table
 
-KEYWORDS = "licen[sc]e|copyright|copyleft|permission|warrant|liab|redistribut|free software|public domain|creative commons|\\bcc0?[ -]|spdx|open source|\\b[al]?gpl\\b"
-#: A sentence of a text that has one of the above may also have one of these.
-MORE_KEYWORDS = "all rights|as is|software|gnu"
-#: What every sentence below has, each in one word, as words may stand on two lines. KEYWORDS and MORE_KEYWORDS are the SQL's, which leave some of the sentences out.
-CUES = "licen[sc]|copyright|permission|warrant|liab|redistribut|software|domain|commons|(?<![a-z0-9])cc0?|spdx|gpl|gnu|applicable|endorse|\\(c\\)"
-#: A sentence of a text that has one of the above may also have this: all rights reserved names no licence by itself, and the SQL doesn't count it alone.
-MORE_CUES = "rights"
+#: Of what every sentence below has one, each in one word, as words may stand on two lines: tests draw sentences from the table and look for it. Nothing without it can be a known sentence.
+CUES = "licen[sc]|copyright|permission|warrant|liab|redistribut|software|domain|commons|(?:^|[^a-z0-9])cc0?|spdx|gpl|gnu|applicable|endorse|\\(c\\)|rights"
 _COMMENT = r"(?m)^[ \t]*(?:#+|//+|\*+|;+|--+|/\*+|<!--)?[ \t]*"
 
 _BY = "(?:this (?:work|file|software|program|code|document|text|project) is )?(?:released|licen[sc]ed|distributed|available|published|made available|provided)"
@@ -115,16 +110,16 @@ def scan(docs: DataFrame) -> DataFrame:
     marked = docs.select("doc_id", F.when(cue, F.split(flat, "[.;!?]+[ \u2029]+|\u2029")).otherwise(empty).alias("paragraphs"), F.when(cue, F.split(bare, "\\n|[.;!?]+ +")).otherwise(empty).alias("lines"))
 
     def kept(c: str) -> Column:
-        return F.filter(F.transform(F.filter(F.transform(c, _low), lambda s: s.rlike(f"{CUES}|{MORE_CUES}")), _normal), lambda s: s != "")
+        return F.filter(F.transform(F.filter(F.transform(c, _low), lambda s: s.rlike(CUES)), _normal), lambda s: s != "")
 
     def named(c: str) -> Column:
-        patterns = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(f"^(?:{p})$").alias("p")) for i, p in SENTENCES))
-        first = F.transform(c, lambda s: F.get(F.filter(patterns, lambda x: F.rlike(s, x["p"])), 0)["i"])
+        # Literal patterns are compiled once; the first that fits ends the search.
+        first = F.transform(c, lambda s: F.coalesce(*(F.when(s.rlike(f"^(?:{p})$"), F.lit(i)) for i, p in SENTENCES)))
         return F.filter(first, lambda x: x.isNotNull())
 
     some = marked.select("doc_id", kept("paragraphs").alias("paragraphs"), kept("lines").alias("lines"))
     ids = some.select("doc_id", named("paragraphs").alias("a"), named("lines").alias("b"))
-    ids = ids.select("doc_id", F.concat("a", F.array_except("b", "a")).alias("ids"))
+    ids = ids.select("doc_id", F.concat("a", F.filter("b", lambda x: ~F.array_contains("a", x))).alias("ids"))
     rules = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(p).alias("p")) for n, p in RULES))
     start = F.struct(F.array_join(F.transform("ids", lambda x: F.concat(F.lit(" "), x, F.lit(";"))), "").alias("left"), empty.alias("out"))
 
@@ -153,17 +148,21 @@ def _normal_sql(s: str) -> str:
 
 def _sql() -> str:
     """The same scan: each rule is a step of its own."""
-    kept = f"list_filter(list_transform(list_filter({{}}, lambda s: regexp_matches(s, {_q(f'(?i){KEYWORDS}|{MORE_KEYWORDS}')})), lambda s: {_normal_sql('s')}), lambda s: s <> '')"
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ\"\'\'', 'abcdefghijklmnopqrstuvwxyz')"
+    cue = lambda x: f"regexp_matches({low.format(x)}, {_q(CUES)})"
+    kept = f"list_filter(list_transform(list_filter({{}}, lambda s: {cue('s')}), lambda s: {_normal_sql('s')}), lambda s: s <> '')"
     named = "list_filter(list_transform({}, lambda s: list_filter(l, lambda x: regexp_matches(s, x.p))[1].i), lambda x: x IS NOT NULL)"
     known = ", ".join(f"{{'i': {_q(i)}, 'p': {_q(f'^(?:{p})$')}}}" for i, p in SENTENCES)
     out = rf"""
 WITH known AS (SELECT [{known}] AS l),
 d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-m AS (SELECT doc_id, regexp_matches(text, {_q(f'(?i){KEYWORDS}')}) AS cue, regexp_replace(text, {_q(_COMMENT)}, '', 'g') AS bare FROM d),
-p AS (SELECT doc_id, CASE WHEN cue THEN regexp_split_to_array(replace(regexp_replace(bare, '\n[ \t]*\n', chr(8233), 'g'), chr(10), ' '), '[.;!?]+[ ' || chr(8233) || ']+|' || chr(8233)) ELSE [] END AS ps, CASE WHEN cue THEN regexp_split_to_array(bare, '\n|[.;!?]+ +') ELSE [] END AS ls FROM m),
+b AS (SELECT doc_id, regexp_replace(text, {_q(_COMMENT)}, '', 'g') AS bare FROM d),
+f AS (SELECT doc_id, bare, replace(regexp_replace(bare, '\n[ \t]*\n', chr(8233), 'g'), chr(10), ' ') AS flat FROM b),
+m AS (SELECT doc_id, bare, flat, {cue('flat')} AS cue FROM f),
+p AS (SELECT doc_id, CASE WHEN cue THEN regexp_split_to_array(flat, '[.;!?]+[ ' || chr(8233) || ']+|' || chr(8233)) ELSE [] END AS ps, CASE WHEN cue THEN regexp_split_to_array(bare, '\n|[.;!?]+ +') ELSE [] END AS ls FROM m),
 k AS (SELECT doc_id, {kept.format('ps')} AS ps, {kept.format('ls')} AS ls FROM p),
 n AS (SELECT doc_id, {named.format('ps')} AS a, {named.format('ls')} AS b FROM k, known),
-i AS (SELECT doc_id, list_concat(a, list_filter(list_transform(range(1, len(b) + 1), lambda j: CASE WHEN list_position(b, b[j]) = j AND NOT list_contains(a, b[j]) THEN b[j] END), lambda x: x IS NOT NULL)) AS ids FROM n),
+i AS (SELECT doc_id, list_concat(a, list_filter(b, lambda x: NOT list_contains(a, x))) AS ids FROM n),
 r0 AS (SELECT doc_id, ids, array_to_string(list_transform(ids, lambda x: ' ' || x || ';'), '') AS q, CAST([] AS VARCHAR[]) AS o FROM i)"""
     for n, (name, pattern) in enumerate(RULES, 1):
         out += f",\nr{n} AS (SELECT doc_id, ids, regexp_replace(q, {_q(pattern)}, '', 'g') AS q, CASE WHEN regexp_matches(q, {_q(pattern)}) AND NOT list_contains(o, {_q(name)}) THEN list_append(o, {_q(name)}) ELSE o END AS o FROM r{n - 1})"
