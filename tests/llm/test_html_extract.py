@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 from vellum.llm import html_extract as H
 
@@ -47,3 +48,34 @@ def test_odd_pages(spark):
     assert got[2]["text"] == "plain words only." and got[5]["text"] == "a < b and c > d." and got[6]["text"] == "x <b> é &bogus;"
     assert got[11]["text"] == " ".join(["long word"] * 5000) and got[11]["n_chars"] == len(got[11]["text"])
     assert H.extracted(df.limit(0)).count() == 0
+
+
+def test_tags_and_lists():
+    assert H.main_text("<article><p class=it's>Hello there, this is text.</p></article>") == "Hello there, this is text."
+    assert H.main_text("<article><p>Some words here.</p><ul><li>one item</li><li><a href=x>two</a></li></ul></article>") == "Some words here. one item two"
+    assert H.main_text("<article><p title='a > b' data-x=\"<i>\">One sentence here.</p><object><p>No player.</p></object><p>Another one here.</p></article>") == "One sentence here. Another one here."
+    assert H.main_text("<article><p>Before the list.</p><select><option>a<option>b</select><p>Behind it, more words.</p></article>") == "Before the list. Behind it, more words."
+
+
+def test_pages_of_known_articles():
+    """Articles of random blocks among boilerplate of random kinds and places: exactly the article's blocks come out, in order."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice(["ta", "ri", "mon", "el", "us"]) for _ in range(rng.randrange(1, 4)))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    for _ in range(60):
+        want, body = [], ""
+        for _ in range(rng.randrange(2, 9)):
+            s = sentence(rng.randrange(6, 30))
+            want.append(s)
+            body += rng.choice(["<p>{}</p>", "<p>{}", "<blockquote>{}</blockquote>", "<div>{}</div>", "<p><b>{}</b></p>", "<p class='lead'>{}</p>"]).replace("{}", s.replace(" ", rng.choice([" ", "  ", "\n", " <i></i>"])))
+            if rng.random() < 0.4:
+                body += rng.choice(['<div class="advert"><p>{}</p></div>', "<form><p>{}</p></form>", "<script>{}</script>", '<aside>{}</aside>', "<div id='related-posts'><a href='x'>{}</a></div>", "<!-- {} -->"]).replace("{}", sentence(9))
+        page = f"<html><head><title>{sentence(4)}</title></head><body><nav><ul><li><a href='/'>{word()}</a></ul></nav><header><p>{sentence(8)}</p></header><article>{body}</article><section class='comments'><p>{sentence(12)}</p></section><footer>{sentence(7)}</footer></body></html>"
+        assert H.main_text(page) == " ".join(want), page
+
+
+def test_hostile_pages_take_time_in_proportion():
+    began = time.time()
+    for page in ("<div>x " * 100_000, '<a "' * 250_000, "<a b='" * 170_000 + ">", "</x>" * 80_000 + "<div>" * 50_000 + "</y>" * 80_000, "<object>" * 100_000, "<div><li>x" * 50_000, "<!" * 400_000, "<svg>" * 100_000):
+        H.main_text(page)
+    assert time.time() - began < 20

@@ -6,7 +6,8 @@ the document tree, and blocks next to each other under one parent. A maximum flo
 
 Before the flow, blocks whose own preference outweighs all their edges take their label, and their edges become costs of their neighbours, over and over; this is exact and leaves few blocks or none.
 
-Null, empty and markup-free html: the empty text, or the text as one block. Very deep or broken markup is read as far as it goes: unknown end tags are ignored, open elements end with their parents.
+Null, empty and markup-free html: the empty text, or the text as one block. Very deep or broken markup is read as far as it goes, in time and memory in proportion to the page: unknown end tags are ignored,
+open elements end with their parents, and a tag without an end is text. Other columns of any name are ignored.
 Repeated rows give a row each; ties are content. An empty table gives an empty result.
 """
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,17 +25,21 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import slices, table, texts
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.DOTALL)
+#: A quote begins a value only behind an equals sign. Parts are possessive, so a tag is read once.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]*+))*+)>""")
+#: How many tags of a page may run to its end before quotes are no longer read.
+MOST_OPEN = 64
+_BARE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z][a-zA-Z0-9:_-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 #: Elements by their kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea title head select option datalist".split())
+RAW = frozenset("script style noscript template iframe svg math textarea title head select datalist".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY_BLOCK = frozenset({"p", *HEADING})
 #: Elements that end an open one of the same group, up to the nearest of the second set.
-SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-BAD_ELEMENTS = {"nav": 10.0, "footer": 10.0, "aside": 10.0, "form": 10.0, "menu": 10.0, "dialog": 10.0, "button": 10.0, "header": 5.0, "fieldset": 10.0, "figcaption": 0.5, "address": 1.5}
+SIBLINGS = {"option": ({"option"}, {"select", "datalist", "optgroup"}), "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+BAD_ELEMENTS = {"nav": 10.0, "footer": 10.0, "aside": 10.0, "form": 10.0, "menu": 10.0, "dialog": 10.0, "button": 10.0, "header": 5.0, "fieldset": 10.0, "object": 20.0, "audio": 20.0, "video": 20.0, "canvas": 20.0, "option": 20.0, "optgroup": 20.0, "figcaption": 0.5, "address": 1.5}
 GOOD_ELEMENTS = {"article": 4.0, "main": 3.0}
 _BAD = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|sidebar\w*|side|nav\w*|menu\w*|breadcrumbs?|foot\w*|masthead|head(?:er)?|site-?header|topbar|toolbar|cookie\w*|consent|gdpr|notice\w*|alert\w*|modal|popup|overlay|newsletter|subscri\w+"
@@ -45,20 +50,74 @@ _GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|post|entry|story|bod
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: The classifier: fixed weights of a block's score in favour of content.
 BIAS, BAD_CLASS, GOOD_CLASS, OUTSIDE, PARAGRAPH, TITLE, SENTENCE, LINKS, PER_WORD, MOST_WORDS = -0.6, 10.0, 2.0, 2.5, 1.0, 1.0, 0.8, 5.0, 0.08, 2.4
+#: Links count less in what an article lists.
+LINKS_INSIDE, LISTED = 2.0, frozenset("li td dd dt".split())
 #: Capacities of the smoothness edges: neighbours under one parent, and at each further step in the tree less.
 SMOOTH, FADE, KIN = 1.0, 0.5, 0.5
 SCALE = 1000
 
 
 class Block:
-    __slots__ = ("path", "pieces", "linked", "score", "inside", "kind")
+    __slots__ = ("node", "pieces", "linked", "score", "inside", "kind")
 
-    def __init__(self, path: tuple[int, ...], score: float, inside: bool, kind: str) -> None:
-        self.path, self.score, self.inside, self.kind = path, score, inside, kind
+    def __init__(self, node: int, score: float, inside: bool, kind: str) -> None:
+        self.node, self.score, self.inside, self.kind = node, score, inside, kind
         self.pieces: list[str] = []
         self.linked = 0
 
 
+class Tree:
+    """The elements of a page that aren't inline, by number: what each lies in, and how deep. 0 is the page."""
+
+    def __init__(self) -> None:
+        self.above, self.depth = [-1], [0]
+
+    def add(self, above: int) -> int:
+        self.above.append(above)
+        self.depth.append(self.depth[above] + 1)
+        return len(self.above) - 1
+
+    def apart(self, a: int, b: int) -> int:
+        """How many borders of elements lie between, without the nearest two. In the order of a page all these walks together are as long as the page."""
+        steps = 0
+        while a != b:
+            if self.depth[a] >= self.depth[b]:
+                a = self.above[a]
+            else:
+                b = self.above[b]
+            steps += 1
+        return max(0, steps - 2)
+
+
+def pieces(page: str) -> Iterator[tuple[int, str, str, str]]:
+    """(end, text, "", "") of texts, and (end, what closes it or "", name, attributes) of tags; comments and declarations are left out. send(place) goes on from there."""
+    at, n, last, broken = 0, len(page), page.rfind(">"), 0
+    while at < n:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = n if end < 0 else end + 3
+            continue
+        elif page.startswith("<![CDATA[", at):
+            end = page.find("]]>", at)
+            told = yield (n if end < 0 else end + 3), page[at + 9 : n if end < 0 else end], "", ""
+            end = n if end < 0 else end + 3
+        elif page[at] != "<" or at > last:
+            end = n if at > last else page.find("<", at)
+            end = n if end < 0 else end
+            told = yield end, page[at:end], "", ""
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            at = page.find(">", at) + 1
+            continue
+        elif m := (_TAG if broken < MOST_OPEN else _BARE).match(page, at):
+            end = m.end()
+            told = yield end, m[1], m[2].lower(), m[3]
+        else:
+            broken += page[at + 1 : at + 2].isalpha()
+            end = at + 1
+            told = yield end, "<", "", ""
+        at = end if told is None else told
+
+
 def _hint(tag: str, attributes: str) -> tuple[float, bool]:
     """What an element says of the text in it, and whether it marks the article."""
     score, good = -BAD_ELEMENTS.get(tag, 0.0), tag in GOOD_ELEMENTS
@@ -82,12 +141,14 @@ def _hint(tag: str, attributes: str) -> tuple[float, bool]:
     return score, good
 
 
-def blocks(page: str) -> list[Block]:
+def blocks(page: str, tree: Tree | None = None) -> list[Block]:
     """The blocks of a page in its order, each with text."""
-    out: list[Block] = []
-    # Open elements: name, number, sum of hints, inside an article, in a link.
-    stack: list[tuple[str, int, float, bool, bool]] = [("", 0, 0.0, False, False)]
-    count, now, at = 0, None, 0
+    tree, out = tree or Tree(), []
+    # Open elements: name, node, kind of the node, sum of hints, inside an article, in a link; how often each name is open; raw elements without an end.
+    stack: list[tuple[str, int, str, float, bool, bool]] = [("", 0, "", 0.0, False, False)]
+    names: Counter[str] = Counter()
+    endless: set[str] = set()
+    now: Block | None = None
 
     def cut() -> None:
         nonlocal now
@@ -95,66 +156,67 @@ def blocks(page: str) -> list[Block]:
             out.append(now)
         now = None
 
-    while m := _TOKEN.match(page, at):
-        at, token = m.end(), m[0]
-        if token[0] != "<" or token == "<" or token.startswith("<![CDATA["):
-            data = token[9:].removesuffix("]]>") if token.startswith("<![CDATA[") else token
+    def close(at: int) -> None:
+        names.subtract(x[0] for x in stack[at:])
+        del stack[at:]
+
+    def close_nearest(same: frozenset[str] | set[str], stops) -> None:
+        if any(names[x] for x in same):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i][0] in same:
+                    return close(i)
+                if stops(stack[i][0]):
+                    return None
+        return None
+
+    source = pieces(page)
+    step = next(source, None)
+    while step:
+        at, mark, tag, attributes = step
+        go = None
+        if not tag:
             if now is None:
-                open_ = [x for x in stack if x[0] not in INLINE]
-                now = Block(tuple(x[1] for x in open_), stack[-1][2], stack[-1][3], open_[-1][0])
-            now.pieces.append(data)
-            if stack[-1][4]:
-                now.linked += len(data)
-            continue
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if m[1]:
+                _, node, kind, score, inside, _ = stack[-1]
+                now = Block(node, score, inside, kind)
+            now.pieces.append(mark)
+            if stack[-1][5]:
+                now.linked += len(mark)
+        elif mark:
             if tag not in INLINE:
                 cut()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if tag in INLINE and stack[i][0] not in INLINE:
-                    break
-            continue
-        if tag in RAW and not token.endswith("/>"):
-            if tag not in ("svg", "math", "select", "option"):
+            close_nearest({tag}, lambda x, tag=tag: tag in INLINE and x not in INLINE)
+        elif tag in RAW and not attributes.endswith("/"):
+            if tag not in ("svg", "math", "select"):
                 cut()
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
+            end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
             if end:
-                at = end.end()
-            elif tag in ("script", "style", "template", "iframe", "noscript", "textarea", "title", "select"):
-                at = len(page)
-            continue
-        if tag == "br":
+                go = end.end()
+            else:
+                endless.add(tag)
+                if tag in ("script", "style", "template", "iframe", "noscript", "textarea", "title", "select"):
+                    go = len(page)
+        elif tag == "br":
             if now:
                 now.pieces.append(" ")
-            continue
-        if tag not in INLINE:
-            cut()
-            if any(x[0] in CLOSED_BY_BLOCK for x in stack[-8:]):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in CLOSED_BY_BLOCK:
-                        del stack[i:]
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
-            if tag in SIBLINGS:
-                same, border = SIBLINGS[tag]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in same:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in border:
-                        break
-        if tag in VOID or token.endswith("/>") and tag not in ("p", "div", "a", "span"):
-            continue
-        count += 1
-        score, good = _hint(tag, m[3])
-        _, _, above, inside, linked = stack[-1]
-        stack.append((tag, count, above + score, inside or good, linked or tag == "a"))
+        else:
+            if tag not in INLINE:
+                cut()
+                if any(x[0] in CLOSED_BY_BLOCK for x in stack[-8:]):
+                    close_nearest(CLOSED_BY_BLOCK, lambda x: x not in INLINE)
+                if tag in SIBLINGS:
+                    same, border = SIBLINGS[tag]
+                    close_nearest(same, border.__contains__)
+            if tag not in VOID and not (attributes.endswith("/") and tag not in ("p", "div", "a", "span")):
+                score, good = _hint(tag, attributes)
+                _, node, kind, above, inside, linked = stack[-1]
+                if tag not in INLINE:
+                    node, kind = tree.add(node), tag
+                names[tag] += 1
+                stack.append((tag, node, kind, above + score, inside or good, linked or tag == "a"))
+        try:
+            step = source.send(go)
+        except StopIteration:
+            step = None
     cut()
     return out
 
@@ -166,23 +228,20 @@ def scores(found: list[Block]) -> list[tuple[str, float]]:
         raw = "".join(b.pieces)
         text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
         n = text.count(" ") + 1
-        s = BIAS + max(-16.0, min(6.0, b.score)) + min(MOST_WORDS, PER_WORD * n) - LINKS * min(1.0, b.linked / max(1, len(raw.strip())))
+        s = BIAS + max(-16.0, min(6.0, b.score)) + min(MOST_WORDS, PER_WORD * n) - (LINKS_INSIDE if b.inside and b.kind in LISTED else LINKS) * min(1.0, b.linked / max(1, len(raw.strip())))
         s += PARAGRAPH * (b.kind in ("p", "pre", "blockquote", "td")) + TITLE * (b.kind in HEADING) + SENTENCE * text.endswith((".", "!", "?", "…", "\"", "”", "»"))
         out.append((text, s - OUTSIDE * (article and not b.inside)))
     return out
 
 
-def edges(found: list[Block]) -> dict[tuple[int, int], int]:
+def edges(found: list[Block], tree: Tree) -> dict[tuple[int, int], int]:
     """Capacities between blocks: neighbours in the page by distance in the tree, and neighbours under one parent."""
     out: dict[tuple[int, int], int] = {}
-    last: dict[tuple[int, ...], int] = {}
+    last: dict[int, int] = {}
     for i, b in enumerate(found):
         if i:
-            a = found[i - 1].path
-            common = next((k for k, (x, y) in enumerate(zip(a, b.path)) if x != y), min(len(a), len(b.path)))
-            apart = max(0, len(a) + len(b.path) - 2 * common - 2)
-            out[i - 1, i] = int(SCALE * SMOOTH * FADE**apart)
-        parent = b.path[:-1]
+            out[i - 1, i] = int(SCALE * SMOOTH * FADE ** min(64, tree.apart(found[i - 1].node, b.node)))
+        parent = tree.above[b.node]
         if parent in last:
             key = (last[parent], i)
             out[key] = out.get(key, 0) + int(SCALE * KIN)
@@ -263,14 +322,15 @@ def _flow(nodes: list[int], gain: list[int], near: list[dict[int, int]]) -> dict
 
 
 def main_text(page: str) -> str:
-    found = blocks(page)
+    tree = Tree()
+    found = blocks(page, tree)
     if not found:
         return ""
     scored = scores(found)
-    if len(found) == 1 and len(found[0].path) == 1:  # no markup
+    if len(found) == 1 and not found[0].node:  # no markup
         return scored[0][0]
     soft = lambda x: x + math.log1p(math.exp(-x)) if x > 0 else math.log1p(math.exp(x))
-    keep = minimum_cut([(int(SCALE * soft(-s)), int(SCALE * soft(s))) for _, s in scored], edges(found))
+    keep = minimum_cut([(int(SCALE * soft(-s)), int(SCALE * soft(s))) for _, s in scored], edges(found, tree))
     return " ".join(t for (t, _), k in zip(scored, keep) if k and t)
 
 

@@ -169,10 +169,9 @@ def secrets(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """The rows of documents with each stretch of touching or overlapping spans replaced by mask; n_chars follows where the text changed."""
-    limits = cuts(written(scanned(docs, "text", ()).select("candidates"), "candidates"))
-    whole = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"))
-    rows = scanned(whole, "_text", ("_row", "_text")).select("_row", "_text", _chosen(limits).alias("_all"))
+    """The rows of documents with each stretch of touching or overlapping spans replaced by mask; n_chars follows where the text changed. Texts are scanned once: rows and scans are written, and read for the cuts and for the rows."""
+    scans = written(scanned(docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text")), "_text", ("_row",)), "scans")
+    rows = scans.select("_row", F.col("_row")["text"].alias("_text"), _chosen(cuts(scans)).alias("_all"))
 
     def step(a: Column, x: Column) -> Column:
         gap = F.substring(F.col("_text"), a["at"] + 1, F.greatest(x["start"] - a["at"], F.lit(0)))
