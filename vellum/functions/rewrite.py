@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -360,46 +361,79 @@ def with_css(page: str, css: dict[str, dict[str, str]]) -> str:
     return page
 
 
-#: Languages whose guillemets point inwards, and the fix-up's kinds in their order: name, pattern, replacement.
+#: Languages whose guillemets point inwards.
 INWARD = frozenset("de hr cs da hu pl sr sk sl sv".split())
-FIXUPS = [
-    ("multiple spaces", r"(?<=\S)  +(?=\S)", " "), ("spaced hyphen", r" +-(?!-) *|(?<!-)- +", "-"), ("spaced full stop", r" +\.(?![.\d])", "."), ("space before !", r" +!", "!"), ("space before ?", r" +\?", "?"), ("space before comma", r" +,", ","),
-    ("space before colon", r" +:", ":"), ("space before semicolon", r" +;", ";"), ("open quote and space", r"^\" +|([“‘]) +", None), ("space and close quote", r" +\"$| +([”])", None), ("open bracket and space", r"([(\[{]) +", r"\1"), ("space and close bracket", r" +([)\]}])", r"\1"),
-    ("spaces at the end", r" +$", ""), ("asterisks", r"^ *(?:\* *){4,}$", "       *       *       *       *       *"), ("l for 1", r"\bl(?=st\b)|\bll(?=th\b)", None), ("dots", r"(?<![.!? \"“‘])\.\.\.(?![.!?])", " ..."),
-]
+#: Signs by where no space may stand: before them, behind them, or on neither side.
+CLOSERS = {"!": "space before !", "?": "space before ?", ",": "space before comma", ":": "space before colon", ";": "space before semicolon", **dict.fromkeys(")]}", "space and close bracket"), "”": "space and close quote"}
+OPENERS = {**dict.fromkeys("([{", "open bracket and space"), **dict.fromkeys("“‘", "open quote and space")}
+#: Blocks whose lines stay as they are.
+KEPT_BLOCKS = frozenset("$*XF")
+Finding = tuple[int, int, str, str]
+
+
+def _gaps(line: str, language: str) -> Iterator[Finding]:
+    """(start, end, kind, new text) of each run of spaces inside a line that shouldn't be there or be shorter, judged by the signs on both sides."""
+    turned = language in INWARD
+    closers, openers = {**CLOSERS, "«" if turned else "»": "guillemet and space"}, {**OPENERS, "»" if turned else "«": "guillemet and space"}
+    for m in re.finditer(" +", line):
+        start, end = m.span()
+        before, after = line[:start], line[end:]
+        if not after:
+            yield start, end, "spaces at the end", ""
+        elif not before:
+            continue
+        elif after[0] in closers:
+            yield start, end, closers[after[0]], ""
+        elif before[-1] in openers:
+            yield start, end, openers[before[-1]], ""
+        elif before == '"':
+            yield start, end, "open quote and space", ""
+        elif after == '"':
+            yield start, end, "space and close quote", ""
+        elif after[0] == "." and (len(after) == 1 or not (after[1] == "." or after[1].isdigit())):
+            yield start, end, "spaced full stop", ""
+        elif (before[-1] == "-" and before[-2:] != "--") or (after[0] == "-" and after[:2] != "--"):
+            yield start, end, "spaced hyphen", ""
+        elif end - start > 1:
+            yield start, end, "multiple spaces", " "
+
+
+def _line_fixes(line: str, language: str) -> list[Finding]:
+    """All that the basic fix-up would change in one line, by place. A row of asterisks is taken as a whole, as its spaces have a meaning."""
+    if set(line) <= {"*", " "} and "*" in line:
+        signs, thought = line.count("*"), "       *       *       *       *       *"
+        return [(0, len(line), "asterisks", thought)] if signs > 3 and line != thought else []
+    out = list(_gaps(line, language))
+    for word in re.finditer(r"(?<![^\W_])l+(?=(?:st|th)(?![^\W_]))", line):
+        if word[0] + line[word.end() : word.end() + 2] in ("lst", "llth"):
+            out.append((*word.span(), "l for 1", "1" * len(word[0])))
+    for dots in re.finditer(r"\.+", line):
+        beside = line[max(0, dots.start() - 1) : dots.start()], line[dots.end() : dots.end() + 1]
+        if len(dots[0]) == 3 and beside[0] and beside[0] not in "!? \"“‘" and (not beside[1] or beside[1] not in "!?"):
+            out.append((*dots.span(), "dots", " ..."))
+    return sorted(out)
+
+
+def open_lines(text: str) -> Iterator[tuple[int, str]]:
+    """Lines, by number, that a fix-up may change: without block markup and the blocks that stay, a poem's without the number at the end."""
+    block = ""
+    for number, line in enumerate(text.split("\n"), 1):
+        if not block and (m := _OPEN.match(line)):
+            block = m[1].upper() if m[1].upper() in KEPT_BLOCKS | set("PL") else ""
+        elif block and (m := _CLOSE.match(line)) and m[1].upper() == block:
+            block = ""
+        elif block not in KEPT_BLOCKS or not block:
+            yield number, line.rstrip().rstrip("0123456789").rstrip() if block == "P" and re.search(r"\s\s\d+\s*$", line) else line
 
 
 def fixup_findings(text: str, language: str = "en") -> list[tuple[int, str, int, int]]:
-    """(line, kind, start, end) of what the basic fix-up would change; blocks whose lines stay are skipped, and the numbers at the ends of a poem's lines aren't looked at."""
-    guillemets = (r"([»]) +| +([«])" if language in INWARD else r"([«]) +| +([»])")
-    kinds = [(n, re.compile(p)) for n, p, _ in FIXUPS] + [("guillemet and space", re.compile(guillemets))]
-    out, block = [], ""
-    for number, line in enumerate(text.split("\n"), 1):
-        if m := re.match(r"/([$*XFPL])", line, re.I):
-            block = m[1].upper()
-            continue
-        if block and re.match(rf"{re.escape(block)}/", line, re.I):
-            block = ""
-            continue
-        if block in ("$", "*", "X", "F"):
-            continue
-        if block == "P":
-            line = re.sub(r"\s{2,}\d+\s*$", "", line)
-        thought = re.fullmatch(r"[ *]*\*[ *]*", line)
-        out += [(number, name, m.start(), m.end()) for name, p in kinds if not (thought and name == "multiple spaces") for m in p.finditer(line)]
-    return out
+    """(line, kind, start, end) of what the basic fix-up would change."""
+    return [(number, kind, start, end) for number, line in open_lines(text) for start, end, kind, _ in _line_fixes(line, language)]
 
 
-def fixed_up(line: str) -> str:
+def fixed_up(line: str, language: str = "en") -> str:
     """A line after all fix-ups."""
-    for name, pattern, by in FIXUPS:
-        if name.startswith("l for"):
-            line = re.sub(pattern, lambda m: "1" * len(m[0]), line)
-        elif by is None:
-            line = re.sub(pattern, lambda m: m[0].strip(), line)
-        else:
-            line = re.sub(pattern, by, line)
-    return line
+    return edited(line, [(start, end, new) for start, end, _, new in _line_fixes(line, language)])
 
 
 def joined_pages(text: str, keep: frozenset[str] = frozenset()) -> str:

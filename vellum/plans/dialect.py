@@ -223,10 +223,15 @@ def used(text: Text) -> list[str]:
     return [t for t in TABLES if SPARK.table(t) in sql]
 
 
+#: The largest table, in bytes by the optimizer's estimate, that is spread.
+SPREAD_BYTES = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """The table over all cores where its files give fewer parts than there are, as with a single small file; else as it is, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A small table over all cores, as it may be a single small file; larger ones as they are, without a shuffle."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def over_folder(text: Text) -> Callable[[SparkSession, str], DataFrame]:

@@ -26,12 +26,14 @@ def local_session(cpus: int | None = None, app: str = "vellum") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of this machine's only where that is unset."""
+    """The folder of spark.checkpoint.dir, or that set by setCheckpointDir. Where neither is, a local master gets a folder of this machine's, and a cluster an error: its executors would each write to their own disk."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = known.get() if known.isDefined() else None
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="vellum-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
