@@ -78,7 +78,7 @@ def reversed_runs(d: Dialect) -> str:
     return base.ctes(base.lines(d)) + f"SELECT doc_id, line_no, {d.reverse('line')} AS changed FROM lines WHERE {d.match('line', '^[ -~]+$')}"
 
 
-@query("STR-12")
+@query("STR-12", made=True)
 def fractions(d: Dialect) -> str:
     """Fractions with a sign of their own by it."""
     x = "line"

@@ -63,8 +63,8 @@ def page_labels(d: Dialect) -> str:
 
 @query("SEG-08")
 def image_of_label(d: Dialect) -> str:
-    """The image of the page labelled 3 in each book."""
-    return base.ctes(base.book(d), base.pages(d), _labels(d)) + "SELECT doc_id, page FROM labels WHERE label = '3'"
+    """The image of the page labelled iii in each book."""
+    return base.ctes(base.book(d), base.pages(d), _labels(d)) + "SELECT doc_id, page FROM labels WHERE label = 'iii'"
 
 
 @query("SEG-09 SEG-10")
@@ -76,7 +76,7 @@ SELECT p.doc_id, p.para, p.start_line, p.end_line, {d.length('p.text')} AS chars
 FROM paragraphs p JOIN para_ends e ON e.doc_id = p.doc_id AND e.para = p.para AND {d.intdiv(d.length('p.text'), '2')} < e.end_at GROUP BY p.doc_id, p.para, p.start_line, p.end_line, p.text"""
 
 
-@query("SEG-12")
+@query("SEG-12", made=True)
 def skippable_lines(d: Dialect) -> str:
     """Lines that count as blank: block markup, thought breaks and lines of dashes (here also table rows)."""
     return base.ctes(base.lines(d)) + f"SELECT doc_id, line_no FROM lines WHERE {d.match('line', '^ *(?:/[*#$CFPX]|[*#$CFPX]/|<tb>|[* ]*[*][* ]*|-+|' + SLASH + '|.*' + SLASH + '|) *$')}"

@@ -30,7 +30,7 @@ def line_lengths(d: Dialect) -> str:
 SELECT doc_id, line_no, size, CASE WHEN size > {LONG} THEN 'long' ELSE 'short' END AS kind FROM sized WHERE size > {LONG} OR (size BETWEEN 1 AND {SHORT - 1} AND NOT {d.match('line', '^ ')} AND following IS NOT NULL AND {d.match('following', '[^ ]')} AND coalesce(before, {SHORT}) >= {SHORT})"""
 
 
-@query("WIN-04")
+@query("WIN-04", made=True)
 def hyphens_at_line_ends(d: Dialect) -> str:
     """Hyphens at line ends, dashes broken by a line end, spaced dashes."""
     return base.ctes(base.lines(d), "near AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS following FROM lines)") + f"""
@@ -80,7 +80,7 @@ def block_markup(d: Dialect) -> str:
     return base.ctes(base.book(d), f"marks AS (SELECT doc_id, line_no, {mark} AS step FROM book)") + "SELECT doc_id, line_no, step FROM (SELECT *, lag(step) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM marks WHERE step IS NOT NULL) m WHERE step = before"
 
 
-@query("WIN-16")
+@query("WIN-16", made=True)
 def dash_kinds(d: Dialect) -> str:
     """Dashes by kind: at a line's beginning (unless a paragraph begins), at its end, spaced, and of more than two."""
     return base.ctes(base.lines(d), f"near AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM lines)", f"hits AS ({d.explode('doc_id, line_no, line, before', d.all('line', ' ?(?:--+|—|–)(?: |$)?|- | -'), 'near', 'k', 'dash')})") + f"""
@@ -160,7 +160,7 @@ def footnotes_tidied(d: Dialect) -> str:
     return base.ctes(base.book(d), _notes(d)) + f"SELECT doc_id, line_no, CASE WHEN kind = 'note' THEN {d.sub('line', note, '[' + SLASH + '1] ' + SLASH + '2')} ELSE {d.sub('line', anchor, '{{' + SLASH + '1}}')} END AS line FROM paired"
 
 
-@query("JOI-28 STR-27 STR-35")
+@query("JOI-28 STR-27 STR-35", made=True)
 def dehyphenated(d: Dialect) -> str:
     """What becomes of hyphens at line ends: joined where the joined word occurs elsewhere or has a common ending, else kept; the lines with the second half moved up."""
     half, rest = d.group("line", "([" + SLASH + "p{L}]+)[-*]+$", 1), d.group("following", "^([" + SLASH + "p{L}]+)", 1)

@@ -48,7 +48,7 @@ def word_totals(d: Dialect) -> str:
     return base.ctes(base.corpus_words(d)) + "SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS different FROM words"
 
 
-@query("AGG-04")
+@query("AGG-04", made=True)
 def dash_words(d: Dialect) -> str:
     """Words joined by a long dash; suspect where they occur with a hyphen too."""
     pairs = d.all("line", "\\p{L}+(?:--|—)\\p{L}+")
@@ -100,7 +100,7 @@ def accented_words(d: Dialect) -> str:
     return base.ctes(base.corpus_words(d), f"folded AS (SELECT word, n, {fold(d, 'word')} AS plain FROM words)", "kinds AS (SELECT plain, count(*) AS forms FROM folded GROUP BY plain)") + "SELECT f.word, f.n, f.plain, k.forms > 1 AS suspect FROM folded f JOIN kinds k ON k.plain = f.plain WHERE f.word <> f.plain"
 
 
-@query("AGG-13")
+@query("AGG-13", made=True)
 def ligature_words(d: Dialect) -> str:
     """Words with a ligature and their forms with two letters; suspect where these occur."""
     forms = d.values("l", "one, two", LIGATURES)
@@ -113,7 +113,7 @@ def character_counts(d: Dialect) -> str:
     return f"WITH chars AS ({d.explode('doc_id', d.all('coalesce(text, ' + d.lit('') + ')', '[^' + chr(92) + 'n]'), d.table('documents'), 'k', 'ch')}) SELECT ch, count(*) AS n FROM chars GROUP BY ch"
 
 
-@query("AGG-15")
+@query("AGG-15", made=True)
 def mixed_script_words(d: Dialect) -> str:
     """Words with letters of more than one script (digits count as Latin)."""
     kinds = " + ".join(f"CASE WHEN {d.match('word', p)} THEN 1 ELSE 0 END" for p in [r"[\p{Latin}0-9]" if d.name == "duckdb" else r"[\p{IsLatin}0-9]", *((r"\p{%s}" if d.name == "duckdb" else r"\p{Is%s}") % s for s in SCRIPTS[1:])])
@@ -143,7 +143,7 @@ def line_words(d: Dialect) -> str:
     return base.ctes(base.lines(d), f"split_lines AS ({d.explode('doc_id, line_no', d.all(bare, '[' + chr(92) + 'p{L}' + chr(92) + 'p{N}]+(?:[-’' + chr(39) + '][' + chr(92) + 'p{L}' + chr(92) + 'p{N}]+)*'), 'lines', 'k', 'word')})") + "SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM split_lines GROUP BY word"
 
 
-@query("AGG-21")
+@query("AGG-21", made=True)
 def hyphen_variants(d: Dialect) -> str:
     """Hyphenated words whose form without hyphens occurs, with the first lines of each."""
     joined = d.sub("word", "-", "")
@@ -152,7 +152,7 @@ def hyphen_variants(d: Dialect) -> str:
 SELECT b.word, b.n, b.n_joined, r.doc_id, r.line_no FROM both_forms b JOIN ranked r ON r.word = b.word WHERE r.k <= {LISTED}"""
 
 
-@query("AGG-22")
+@query("AGG-22", made=True)
 def odd_characters(d: Dialect) -> str:
     """Characters outside plain Latin text with their counts and first place; Greek left out where a document has more than five different Greek letters."""
     odd = d.all("line", "[^ -~ -ÿœŒ‘’“”—–]")

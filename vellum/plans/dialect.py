@@ -13,8 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 class Dialect:
     name = ""
 
+    def __init__(self, **names: str) -> None:
+        """names: what tables are called."""
+        self.names = names
+
     def table(self, name: str) -> str:
-        return name
+        return self.names.get(name, name)
 
     def lit(self, text: str) -> str:
         raise NotImplementedError
@@ -234,5 +238,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
-def over_folder(text: Text) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: run(spark, text, **{t: spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in used(text)})
+def over_folder(text: Text, documents: Text | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    """The query over the tables of a folder; documents may be a query over documents that stands in for them."""
+
+    def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+        out = {t: spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in used(text)}
+        return out | {"documents": run(spark, documents, documents=out["documents"])} if documents else out
+
+    return lambda spark, sf_dir: run(spark, text, **tables(spark, sf_dir))
+
+
+def over_views(text: Text, documents: Text | None = None) -> str:
+    """The same as SQL over views of the tables' names."""
+    if not documents:
+        return text(DUCK)
+    return f"WITH made AS ({documents(DUCK)}),\n" + text(Duck(documents="made")).removeprefix("WITH ")

@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from vellum import registry
-from vellum.plans.dialect import DUCK, Text, over_folder
+from vellum.plans.base import book_fixture
+from vellum.plans.dialect import DUCK, Text, over_folder, over_views
 
 
-def query(ids: str, name: str = "", about: str = "") -> Callable[[Text], Text]:
+def query(ids: str, name: str = "", about: str = "", made: bool = False) -> Callable[[Text], Text]:
+    """Those about books, and where made is set those about rare signs, run over documents made into books (see base.book_fixture); as functions they take any documents."""
+
     def take(text: Text) -> Text:
         key = name or text.__name__
-        registry.register(key, over_folder(text), text(DUCK), ids.split(), about or (text.__doc__ or "").strip())
+        documents = book_fixture if made or "\nbook AS (" in text(DUCK) else None
+        registry.register(key, over_folder(text, documents), over_views(text, documents), ids.split(), about or (text.__doc__ or "").strip())
         return text
 
     return take
