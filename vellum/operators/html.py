@@ -37,7 +37,7 @@ def link_inventory(d: Dialect) -> str:
     return f"WITH {tags(d)}, {links(d)} SELECT page_id, {kind} AS kind, count(*) AS n, count(DISTINCT href) AS different FROM links GROUP BY page_id, {kind}"
 
 
-@query("JOI-20 JOI-23 JOI-24 HTM-07 HTM-08")
+@query("JOI-20 JOI-23 JOI-24")
 def unresolved_links(d: Dialect) -> str:
     """Links whose target no page's address ends in, and addresses that no link leads to: anti-joins both ways."""
     target = d.group("href", "/([^/?#]+)[^/]*$", 1)
@@ -53,13 +53,13 @@ def external_links(d: Dialect) -> str:
     return f"WITH hits AS ({d.explode('page_id', found, d.table('pages'), 'k', 'address')}) SELECT page_id, k, {d.group('address', '^https?://([^/?#]+)', 1)} AS host FROM hits WHERE k <= 5"
 
 
-@query("HTM-12 HTM-14")
+@query("HTM-14")
 def duplicate_targets(d: Dialect) -> str:
     """Values of an attribute that a page has more than once (here: link targets)."""
     return f"WITH {tags(d)}, {links(d)} SELECT page_id, href, count(*) AS n FROM links GROUP BY page_id, href HAVING count(*) > 1"
 
 
-@query("HTM-16 HTM-32 HTM-51")
+@query("HTM-16 HTM-32")
 def titles(d: Dialect) -> str:
     """Titles and first headings: one of each, the same words; and the title as a file name."""
     title, h1 = d.all(HTML, "<title>([^<]*)</title>", 1), d.all(HTML, "<h1>([^<]*)</h1>", 1)
@@ -73,7 +73,7 @@ def page_checks(d: Dialect) -> str:
     return f"SELECT page_id, {d.match(HTML, '(?i)^<!doctype html>')} AS doctype, {d.match(HTML, '(?i)charset=.?utf-8')} AS utf8, {d.group(HTML, '<html[^<>]* lang=.([a-z]+)', 1)} AS language, {d.size(d.all(HTML, '<pre[ >]'))} AS n_pre FROM {d.table('pages')}"
 
 
-@query("HTM-21 HTM-02 HTM-05")
+@query("HTM-21")
 def image_texts(d: Dialect) -> str:
     """Tags without text of their own (here: breaks and metas) by kind and page, as images are by their texts."""
     return f"WITH {tags(d)} SELECT page_id, tag, count(*) AS n, CAST(sum(CASE WHEN {d.match('raw', ' alt=')} THEN 1 ELSE 0 END) AS BIGINT) AS with_text FROM tags WHERE tag IN ('img', 'br', 'meta', 'hr', 'link') GROUP BY page_id, tag"
@@ -92,7 +92,7 @@ def element_counts(d: Dialect) -> str:
     return f"WITH {tags(d)} SELECT page_id, CAST(sum(CASE WHEN tag = 'h2' THEN 1 ELSE 0 END) AS BIGINT) AS n_h2, CAST(sum(CASE WHEN tag = 'h1' THEN 1 ELSE 0 END) AS BIGINT) AS n_h1, CAST(sum(CASE WHEN tag = 'table' THEN 1 ELSE 0 END) AS BIGINT) AS n_tables, CAST(sum(CASE WHEN {d.match('raw', ' class=.ad')} THEN 1 ELSE 0 END) AS BIGINT) AS n_ads FROM tags GROUP BY page_id"
 
 
-@query("HTM-24 HTM-25 JOI-21 AGG-24")
+@query("HTM-24 HTM-25 JOI-21")
 def classes(d: Dialect) -> str:
     """Classes and elements that are used or have a style, over all pages: used without a style, with a style but not used."""
     style = d.all(d.group(HTML, "(?s)<style>(.*?)</style>", 1), "([a-z][a-z0-9]*)" + SLASH + "{", 1)
@@ -112,7 +112,7 @@ def tidy_pages(d: Dialect) -> str:
     return f"SELECT page_id, md5({d.sub(d.sub(d.sub(HTML, '<p>[ ]*</p>'), '</p>', '</p>' + chr(10)), chr(10) + '{3,}', chr(10) * 2)}) AS html_md5 FROM {d.table('pages')}"
 
 
-@query("HTM-63 HTM-61 HTM-64")
+@query("HTM-63 HTM-61")
 def page_texts_plain(d: Dialect) -> str:
     """The text of a page for comparison: without head, navigation, notes and tags, spaces single."""
     body = d.sub(HTML, "(?s)<head>.*?</head>|<nav>.*?</nav>|<!--.*?-->|<footer>.*?</footer>")
@@ -163,7 +163,7 @@ def wrapped_pages(d: Dialect) -> str:
     return base.ctes(base.book(d), base.paragraphs(d)) + f"SELECT doc_id, md5(concat('<!DOCTYPE html><html><body>', {joined}, '</body></html>')) AS html_md5, count(*) AS n FROM paragraphs GROUP BY doc_id"
 
 
-@query("HTM-03 HTM-04 HTM-06 HTM-09 HTM-10")
+@query("HTM-03")
 def file_sizes(d: Dialect) -> str:
     """Sizes of files (here: pages) with a verdict, the largest first within their site."""
     size = d.length(HTML)
@@ -208,7 +208,7 @@ def cells_to_rows(d: Dialect) -> str:
     return base.ctes(base.book(d), base.paragraphs(d)) + f"SELECT doc_id, para, {d.concat_agg('line', '|', 'line_no')} AS row FROM para_marks WHERE NOT is_blank GROUP BY doc_id, para"
 
 
-@query("ARR-15 ARR-16")
+@query("ARR-15")
 def spaced_tables(d: Dialect) -> str:
     """Rows of tables with an empty row behind each that keeps the bars."""
     return _grid(d) + f", both_rows AS ({d.explode('doc_id, line_no', d.array(d.join('cells', '|'), d.join(d.each('cells', 'c', d.lit('')), '|')), 'grid', 'k', 'row')}) SELECT doc_id, line_no, k, row FROM both_rows"

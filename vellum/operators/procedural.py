@@ -42,7 +42,7 @@ native("STR-04 STR-24", "template_replacements", "Replacements by templates with
 native("STR-13", "normalised_texts", "Texts in the composed normal form.", "SELECT doc_id, nfc_normalize(coalesce(text, '')) AS changed FROM documents")(_changed(R.normalised))
 native("WIN-39 WIN-40 WIN-41", "rewrapped_texts", "Paragraphs filled to the width with the least squared differences.")(_changed(R.rewrapped))
 native("HTM-40 HTM-42 HTM-45 HTM-46 HTM-52 HTM-53 HTM-54 HTM-55", "generated_pages", "Texts as HTML pages.")(_changed(R.to_html))
-native("HTM-60 HTM-62 HTM-37", "styled_pages", "Pages under rules of style for classes.")(_changed(lambda t: R.with_css(t, {"ad": {"display": "none"}}), "pages", "page_id", "html"))
+native("HTM-60 HTM-62", "styled_pages", "Pages under rules of style for classes.")(_changed(lambda t: R.with_css(t, {"ad": {"display": "none"}}), "pages", "page_id", "html"))
 
 
 @native("WIN-14 WIN-15", "curly_quotes")
@@ -51,7 +51,7 @@ def curly_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_text(_documents(spark, sf_dir), "doc_id", "text", lambda t: R.curly_quotes(t)[1], "place int, why string")
 
 
-@native("JOI-18 JOI-19 STR-50 STR-51 STR-52 STR-53 SNK-07", "document_differences")
+@native("JOI-18 JOI-19 STR-50 STR-51 STR-52 STR-53", "document_differences")
 def document_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes that make a conversation's next turn of a role out of the one before: words and lines on both sides."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")

@@ -25,7 +25,7 @@ def _lines(ids: str, name: str, about: str, x, where=None) -> None:  # noqa: ANN
 
 _lines("STR-01", "unaccented_lines", "Lines without accents.", lambda d: fold(d, "line"), lambda d: d.match("line", "[À-ÿ]"))
 _lines("STR-02", "anchor_names", "Lines as anchor names: no accents, one underscore for whatever isn't letter, digit or hyphen.", lambda d: d.sub(fold(d, "line"), "[^0-9A-Za-z-]+", "_"))
-_lines("STR-05 STR-07 STR-08", "replaced_lines", "A pattern replaced by another order of its groups, everywhere.", lambda d: d.sub("line", "([a-z]+), ([a-z]+)", SLASH + "2, " + SLASH + "1"), lambda d: d.match("line", "[a-z], [a-z]"))
+_lines("STR-07 STR-08", "replaced_lines", "A pattern replaced by another order of its groups, everywhere.", lambda d: d.sub("line", "([a-z]+), ([a-z]+)", SLASH + "2, " + SLASH + "1"), lambda d: d.match("line", "[a-z], [a-z]"))
 _lines("STR-09", "sentence_case", "Small letters with a first capital.", lambda d: f"concat(upper(substr(line, 1, 1)), lower(substr(line, 2)))")
 _lines("STR-14 STR-54 STR-33", "without_inline_markup", "Without inline markup; italics and bold become signs.", lambda d: d.sub(d.sub(d.sub("line", "</?i>", "_"), "</?b>", "="), "</?(?:[fgu]|sc)>"))
 _lines("STR-21 STR-34", "without_notes", "Without proofers' notes and the double spaces they leave.", lambda d: d.sub(d.sub("line", SLASH + "[" + SLASH + "*" + SLASH + "*[^" + SLASH + "]]*" + SLASH + "]"), "  +", " "))

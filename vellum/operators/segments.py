@@ -21,7 +21,7 @@ def non_text_lines(d: Dialect) -> str:
     return base.ctes(base.book(d)) + f"SELECT doc_id, line_no, line FROM book WHERE {d.match('line', base.NON_TEXT)}"
 
 
-@query("SEG-02 SEG-04")
+@query("SEG-02")
 def page_of_line(d: Dialect) -> str:
     """Every line with the page it is on; lines before the first separator have none."""
     return base.ctes(base.book(d), base.pages(d)) + "SELECT doc_id, line_no, page FROM paged"

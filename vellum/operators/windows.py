@@ -73,13 +73,6 @@ def unmatched_tags(d: Dialect) -> str:
     return "WITH " + f"tag_lines AS ({body}),\n" + _pairs(d, "</?(?:b|i|p|div|span|ul|li|nav|article|footer|h1|title|html|head|body)>", "tag_lines", "para") + "\nSELECT doc_id, k, mark FROM partners WHERE (step = 1 AND coalesce(following, 1) = 1) OR (step = -1 AND coalesce(before, -1) = -1)"
 
 
-@query("WIN-13")
-def block_markup(d: Dialect) -> str:
-    """Openings and closings of block markup (here: footnotes' brackets at line ends) that don't alternate."""
-    mark = f"CASE WHEN {d.match('line', '^' + SLASH + '[Footnote')} THEN 1 WHEN {d.match('line', '[0-9]' + SLASH + ']$')} THEN -1 END"
-    return base.ctes(base.book(d), f"marks AS (SELECT doc_id, line_no, {mark} AS step FROM book)") + "SELECT doc_id, line_no, step FROM (SELECT *, lag(step) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM marks WHERE step IS NOT NULL) m WHERE step = before"
-
-
 @query("WIN-16", made=True)
 def dash_kinds(d: Dialect) -> str:
     """Dashes by kind: at a line's beginning (unless a paragraph begins), at its end, spaced, and of more than two."""
@@ -169,7 +162,7 @@ def dehyphenated(d: Dialect) -> str:
 SELECT h.doc_id, h.line_no, h.a, h.b, w.n IS NOT NULL OR {d.match('h.b', '^(?:ing|ed|ly|tion|ment|ness|able)$')} AS joined FROM halves h LEFT JOIN words w ON w.word = concat(h.a, h.b)"""
 
 
-@query("STR-25 STR-26 STR-16")
+@query("STR-25 STR-26")
 def line_cleanup(d: Dialect) -> str:
     """Clean-up in order, each rule on the outcome of the one before, with the number of lines that each changed."""
     rules = [("tabs", "\t", " "), ("spaced punctuation", " +([,;:?!])", SLASH + "1"), ("double spaces", "([^ ])  +", SLASH + "1 "), ("dashes", " *-- *", "--"), ("dots", "[.]{4,}", "..."), ("quotes", "''", '"'), ("end", " +$", "")]
@@ -195,7 +188,7 @@ def indents(d: Dialect) -> str:
     return base.ctes(base.book(d), base.paragraphs(d)) + f"SELECT doc_id, para, min({indent}) AS least, max({d.length('line')}) AS widest, concat('.i', {d.string(f'max({indent})')}, ' {{margin-left: ', {d.string(f'max({indent}) * 5 - 30')}, '}}') AS css FROM para_marks WHERE NOT is_blank GROUP BY doc_id, para"
 
 
-@query("WIN-42 WIN-43 STR-17 STR-18")
+@query("WIN-42 STR-17 STR-18")
 def aligned_lines(d: Dialect) -> str:
     """Lines up to 72 characters centred and right-aligned, and those that end in a number with the number at the margin."""
     pad = lambda n: d.repeat("' '", n)

@@ -36,7 +36,7 @@ def book_fixture(d: Dialect) -> str:
   WHEN {n} % 11 = 6 THEN concat('[Footnote ', {label}, ': ', x, ']')
   WHEN {n} % 13 = 4 THEN concat('  ', x)
   WHEN doc_id % 4 = 1 AND {n} = 2 THEN concat('/', '*')
-  WHEN doc_id % 4 = 1 AND {n} = 10 THEN concat('*', '/')
+  WHEN doc_id % 4 = 1 AND {n} = 10 AND doc_id % 8 = 1 THEN concat('*', '/')
   WHEN doc_id % 4 = 1 AND {n} % 5 = 0 THEN concat('<i>', x, '</i>')
   WHEN doc_id % 4 = 2 AND {n} % 5 = 0 THEN concat(x, ' (and so')
   WHEN doc_id % 4 = 2 AND {n} % 5 = 2 THEN concat('--', x, ' word--and - more --- and Mrs.--who -- ', '<', 'i>open')
@@ -44,6 +44,7 @@ def book_fixture(d: Dialect) -> str:
   WHEN doc_id % 4 = 3 AND {n} % 5 = 1 THEN concat('mon common ', x)
   WHEN doc_id % 4 = 0 AND {n} % 5 = 0 THEN concat(x, ' Cæsar Caesar C[oe]ur œuvre wоrd 1/2 3-1/4 to-day today to--day thIs {{x}} ~ |')
   WHEN doc_id % 4 = 0 AND {n} = 2 THEN '<tb>'
+  WHEN doc_id % 4 = 0 AND {n} = 12 THEN concat('.bn ', lpad({d.string(page)}, 3, '0'), '.png')
   ELSE x END"""
     parts = d.cut("coalesce(text, " + d.lit("") + ")", chr(10))
     made = f"list_transform({parts}, lambda x, i: {line})" if d.name == "duckdb" else f"transform({parts}, (x, i) -> {line})"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Modules that register queries when imported.
-MODULES = ("operators.words", "operators.segments", "operators.rules", "operators.windows", "operators.scalars", "operators.html", "operators.procedural", "operators.streams", "operators.files")
+MODULES = ("operators.words", "operators.marks", "operators.segments", "operators.rules", "operators.windows", "operators.scalars", "operators.html", "operators.procedural", "operators.streams", "operators.files")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 _IDS: dict[str, list[str]] = {}
