@@ -187,7 +187,7 @@ def _deletions(d: Dialect, x: str) -> str:
 
 def _near(d: Dialect) -> str:
     """Pairs of a rare word and a lexicon word at one edit: both give the same form without the letter at the same place, or one is the other without a letter."""
-    ok = f"{d.length('word')} BETWEEN 4 AND 24 AND NOT {d.match('word', '[0-9]')}"
+    ok = f"{d.length('word')} > 1 AND NOT {d.match('word', '[0-9]')}"
     return f"""suspects AS (SELECT word, n, {lower(d, 'word')} AS low FROM words WHERE n <= {RARE} AND {ok}),
 good AS (SELECT DISTINCT {lower(d, 'word')} AS low FROM lexicon WHERE {ok}),
 suspect_keys AS ({d.explode('word, n, low', _deletions(d, 'low'), 'suspects', 'k', 'form')}),
@@ -241,8 +241,8 @@ def long_s(d: Dialect) -> str:
 
 @query("RES-16")
 def word_list_report(d: Dialect) -> str:
-    """The word list as the report shows it: by falling count, then by letters; ranks and counts aligned to the right."""
-    return base.ctes(base.corpus_words(d), "top AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS place FROM (SELECT word, n FROM words ORDER BY n DESC, word LIMIT 100) w)") + f"SELECT place, concat(lpad({d.string('n')}, 8, ' '), '  ', word) AS line FROM top"
+    """The word list's lines as the report shows them, every word, counts aligned to the right; word_list_orders has them in each order with their places."""
+    return base.ctes(base.corpus_words(d)) + f"SELECT n, word, concat(lpad({d.string('n')}, 8, ' '), '  ', word) AS line FROM words"
 
 
 #: Letters that don't fall into a letter and a mark.
