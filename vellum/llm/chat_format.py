@@ -13,6 +13,7 @@ Turns are formatted and parsed one by one, wherever they lie; only what a digest
 never stands in memory. The output is a table of segments: conv_id, turn, segment, loss_start, loss_end (code points in the segment of an assistant's text, else null); a conversation's text is its segments joined.
 
 Null text and null role are empty. Turns with equal numbers come in the order of their segments; null turns come first. Rows of a null conv_id are one conversation. An empty table gives no rows.
+A very long text is read whole, in its row. Columns of any other name, those of the results too, are left out of reports and carried through where whole rows are returned.
 """
 
 from __future__ import annotations

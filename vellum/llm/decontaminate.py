@@ -8,6 +8,7 @@ and a scan of its own, and the hits of the parts are merged by document.
 
 Null and empty texts have no words and no hits. An item without words has no window. Repeated items and rows count as they stand: equal item ids are one item. A null item id reads "null".
 Empty tables give no rows or no hits.
+A very long text is read whole, in its row. Columns of any other name, those of the results too, are left out of reports and carried through where whole rows are returned.
 """
 
 from __future__ import annotations

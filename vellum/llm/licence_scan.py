@@ -6,6 +6,7 @@ Sentences are read from paragraphs, in which line ends are spaces, and from sing
 Only sentences with a part that all known sentences have one of (CUES) are compared with the table, and only texts that have one are cut into sentences, which leaves none out. All of it is DataFrame expressions in the document's row; nothing is shuffled.
 
 Null and empty texts have no sentences and no licences. Repeated rows are scanned one by one. An empty table gives an empty result.
+A very long text is read whole, in its row. Columns of any other name, those of the results too, are left out of reports and carried through where whole rows are returned.
 """
 
 from __future__ import annotations

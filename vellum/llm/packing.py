@@ -5,6 +5,7 @@ place on the Hilbert curve is the document's key. Documents are range-sorted by
 one ended, cut wherever a sequence is full. So only a task's last sequence is not full; it is padded to the next power of two.
 
 Null text is empty: one id, the end. Repeated rows are documents of their own. An empty table gives no pieces.
+A very long text is read whole, in its row. Columns of any other name, those of the results too, are left out of reports and carried through where whole rows are returned.
 """
 
 from __future__ import annotations

@@ -9,6 +9,7 @@ decides in its stratum; a stratum without such a cut gives no span. The histogra
 
 Null text is empty: no spans, and the digest of the empty string. Repeated rows are scanned one by one. An empty table gives an empty result.
 Spans count in code points; their ends are exclusive.
+A very long text is read whole, in its row. Columns of any other name, those of the results too, are left out of reports and carried through where whole rows are returned.
 """
 
 from __future__ import annotations

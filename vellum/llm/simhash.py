@@ -10,6 +10,7 @@ share a word are within 4 bits of each other, so a star to the least of them has
 
 Null and empty texts have fingerprint zero and link like any other. Repeated rows and ties give rows of their own with equal values. Rows without doc_id get a fingerprint, and a component id only
 if a row with an id is in their component. An empty table gives an empty result.
+A very long text is read whole, in its row. Columns of any other name, those of the results too, are left out of reports and carried through where whole rows are returned.
 """
 
 from __future__ import annotations

@@ -12,6 +12,7 @@ end id 0, little-endian. Spark's text writer stores the records, whatever file s
 written anew by Spark's commit protocol. The reader uses nothing but the files.
 
 Null text is empty: one id, the end. Repeated doc_ids give an entry each, in the order of their texts. An empty table gives no entries.
+A very long text is read whole, in its row. Columns of any other name, those of the results too, are left out of reports and carried through where whole rows are returned.
 """
 
 from __future__ import annotations
