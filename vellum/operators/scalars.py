@@ -26,7 +26,7 @@ def _lines(ids: str, name: str, about: str, x, where=None) -> None:  # noqa: ANN
 _lines("STR-01", "unaccented_lines", "Lines without accents.", lambda d: fold(d, "line"), lambda d: d.match("line", "[À-ÿ]"))
 _lines("STR-02", "anchor_names", "Lines as anchor names: no accents, one underscore for whatever isn't letter, digit or hyphen.", lambda d: d.sub(fold(d, "line"), "[^0-9A-Za-z-]+", "_"))
 _lines("STR-07 STR-08", "replaced_lines", "A pattern replaced by another order of its groups, everywhere.", lambda d: d.sub("line", "([a-z]+), ([a-z]+)", SLASH + "2, " + SLASH + "1"), lambda d: d.match("line", "[a-z], [a-z]"))
-_lines("STR-09", "sentence_case", "Small letters with a first capital.", lambda d: f"concat(upper(substr(line, 1, 1)), lower(substr(line, 2)))")
+_lines("STR-09", "sentence_case", "Small letters with a first capital.", lambda d: f"concat({d.upper('substr(line, 1, 1)')}, {d.lower('substr(line, 2)')})")
 _lines("STR-14 STR-54 STR-33", "without_inline_markup", "Without inline markup; italics and bold become signs.", lambda d: d.sub(d.sub(d.sub("line", "</?i>", "_"), "</?b>", "="), "</?(?:[fgu]|sc)>"))
 _lines("STR-21 STR-34", "without_notes", "Without proofers' notes and the double spaces they leave.", lambda d: d.sub(d.sub("line", SLASH + "[" + SLASH + "*" + SLASH + "*[^" + SLASH + "]]*" + SLASH + "]"), "  +", " "))
 _lines("STR-22 STR-23", "protected_quotes", "Straight quotes masked and back again.", lambda d: d.translate(d.translate("line", "\"'", "␁␂"), "␁␂", "\"'"))
@@ -68,7 +68,7 @@ def title_case(d: Dialect) -> str:
     """First lines with capitals at all words but small ones; the first word always has one."""
     small = f"w IN ({', '.join(repr(x) for x in SMALL)})"
     cap = f"concat({upper(d, 'substr(w, 1, 1)')}, substr(w, 2))"
-    made = d.join(d.each(d.cut("lower(line)", " "), "w", f"CASE WHEN {small} THEN w ELSE {cap} END"), " ")
+    made = d.join(d.each(d.cut(d.lower("line"), " "), "w", f"CASE WHEN {small} THEN w ELSE {cap} END"), " ")
     return base.ctes(base.lines(d)) + f"SELECT doc_id, concat({upper(d, f'substr({made}, 1, 1)')}, substr({made}, 2)) AS title FROM lines WHERE line_no = 1"
 
 
@@ -138,4 +138,4 @@ def rule_matches(d: Dialect) -> str:
 def character_suites(d: Dialect) -> str:
     """The suites that each character is in, and whether one of them is enabled."""
     suites = d.values("s", "suite, chars, enabled", [("basic", "abcdefghijklmnopqrstuvwxyz .,", 1), ("accents", "àáâäçèéêëìíîïñòóôöùúûüß", 1), ("signs", "#$%&*|<>", 0)])
-    return f"WITH chars AS ({d.explode('doc_id', d.all('coalesce(lower(text), ' + d.lit('') + ')', '[^' + SLASH + 'n]'), d.table('documents'), 'k', 'ch')}), kinds AS (SELECT ch, count(*) AS n FROM chars GROUP BY ch) SELECT ch, n, s.suite, s.enabled = 1 AS enabled FROM kinds LEFT JOIN {suites} ON {d.position('s.chars', 'ch')} > 0"
+    return f"WITH chars AS ({d.explode('doc_id', d.all('coalesce(' + d.lower('text') + ', ' + d.lit('') + ')', '[^' + SLASH + 'n]'), d.table('documents'), 'k', 'ch')}), kinds AS (SELECT ch, count(*) AS n FROM chars GROUP BY ch) SELECT ch, n, s.suite, s.enabled = 1 AS enabled FROM kinds LEFT JOIN {suites} ON {d.position('s.chars', 'ch')} > 0"

@@ -149,7 +149,7 @@ def page_heads_and_feet(d: Dialect) -> str:
 @query("WIN-20")
 def head_kinds(d: Dialect) -> str:
     """Kinds of head lines: page number, number with capitals, capitals, by odd and even pages; a lone year is none."""
-    kind = f"CASE WHEN {d.match('line', '^ *1[5-9][0-9][0-9][.]? *$')} THEN 'year' WHEN {d.match('line', '^ *[0-9]+ *$')} THEN 'page number' WHEN {d.match('line', '^ *[0-9]+ +[A-Z ]+$|^[A-Z ]+ +[0-9]+ *$')} THEN 'number and capitals' WHEN line = upper(line) AND {d.match('line', '[A-Z]')} THEN 'capitals' ELSE 'text' END"
+    kind = f"CASE WHEN {d.match('line', '^ *1[5-9][0-9][0-9][.]? *$')} THEN 'year' WHEN {d.match('line', '^ *[0-9]+ *$')} THEN 'page number' WHEN {d.match('line', '^ *[0-9]+ +[A-Z ]+$|^[A-Z ]+ +[0-9]+ *$')} THEN 'number and capitals' WHEN line = {d.upper('line')} AND {d.match('line', '[A-Z]')} THEN 'capitals' ELSE 'text' END"
     return base.ctes(base.book(d), base.pages(d), f"ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) AS first FROM paged WHERE own IS NULL AND page IS NOT NULL AND NOT {base.blank(d)})") + f"SELECT doc_id, page, CAST(page AS INT) % 2 = 1 AS odd, {kind} AS kind FROM ranked WHERE first = 1"
 
 
