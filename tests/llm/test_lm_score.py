@@ -152,3 +152,56 @@ def test_held_out_words_beat_shuffled_letters(spark):
     more = [(held, " ".join(rng.choice(words) for _ in range(120))), (fresh, shuffled)]
     got = {r["doc_id"]: r["bits_per_byte"] for r in L.scored(spark.createDataFrame(rows + more, "doc_id long, text string")).collect()}
     assert got[held] < 0.75 * got[fresh]
+
+
+def test_bytes_say_counts():
+    """Strength and class of any counts, and what is left without one that took the way: exactly in the first class and where all took it."""
+    six = lambda n, t: L._six(L._rounded(n, t), np.searchsorted(L.CLASSES, n, side="right"))
+    for n in [*range(200), 10**5, 10**8, 10**13]:
+        taken = np.unique(np.clip(np.concatenate([np.arange(40), n - np.arange(40), (n * np.linspace(0, 1, 40)).astype(int)]), 0, n))
+        many = np.full(len(taken), n)
+        byte = L._steps(many, taken)
+        assert np.allclose(L._SAYS[byte] * L.GRAIN, L._rounded(many, taken), atol=1e-4)
+        assert (L._CLASS[byte] == np.searchsorted(L.CLASSES, many, side="right")).all()
+        exact = (taken > 0) & ((n < 4) | ((taken == n) & (n < 32)))
+        assert (L._LESS[byte][exact] == six(many[exact] - 1, taken[exact] - 1)).all()
+
+
+def test_weights_are_fitted_to_every_training_text(spark, rows):
+    """Long texts, null ids and repeated rows too: the cells are those of plain Python over all training texts, each decision without itself."""
+    rng = random.Random(3)
+    ids = [i for i in range(100, 200) if not L.held_out(i)]
+    rows = [*rows, (ids[0], " ".join(rng.choice(["long", "text", "of", "the", "Cat"]) for _ in range(12000))), *((i, "of few words") for i in ids[1:20])]
+    source = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).selectExpr("doc_id", "CAST(text AS BINARY) AS text")
+    model = L.trained(source)[0]
+    codes, counts, taken, met = model.codes, Counter(), Counter(), []
+    ranks, end = {bytes(w): codes.leaf[i] for i, w in enumerate(codes.words.to_pylist())}, codes.n
+    for _, text in (r for r in rows if not L.held_out(r[0])):
+        symbols = [int(s) for t in tokens(text) for s in ([ranks[t]] if t in ranks else [codes.escape, *codes.bytes_at[list(t)], codes.stop])]
+        for i, s in enumerate(symbols):
+            last, spells = [symbols[i - k] if i >= k else end for k in (1, 2, 3)], s >= codes.n_words
+            way = [int(codes.code[s]) >> 51 - k & 1 for k in range(codes.sizes[s])]
+            for k, bit in enumerate(way):
+                node = (spells, *way[:k])
+                places = [(1, node, *last[: 2 if spells else 1]), (2, node, *last[: 3 if spells else 2]) if spells or codes.frequent[last[0]] else None]
+                for place in filter(None, places):
+                    counts[place] += 1
+                    taken[place, bit] += 1
+                met.append((int(codes.plain_less[codes.starts[s] + k]), bit, places, 1 if spells else 2 * (places[1] is None)))
+    less = lambda p, bit: int(L._LESS[L._steps(np.array([counts[p]]), np.array([taken[p, bit]]))[0]]) if p else 0
+    cells = Counter(plain | less(places[0], bit) << 5 | less(places[1], bit) << 11 | kind << 17 for plain, bit, places, kind in met)
+    want = sorted(cells.items())
+    assert np.allclose(model.weights, L.fitted(np.array([c for c, _ in want]), np.array([n for _, n in want])))
+    assert not np.allclose(model.weights, L.starting_weights())
+
+
+def test_fitted_weights_are_the_best(monkeypatch):
+    """No small step from them makes the decisions of the cells more probable."""
+    monkeypatch.setattr(L, "FIT_PRIOR", 1e-6)
+    rng = np.random.default_rng(4)
+    cells = np.unique(rng.integers(0, 32, 400) | (43 + rng.integers(-9, 10, 400)) << 5 | (43 + rng.integers(-9, 10, 400)) << 11)
+    n = rng.integers(1, 50, len(cells))
+    x = np.stack([((cells & 31) - 16) / L.PLAIN_STEPS, ((cells >> 5 & 63) - 43) / L.GRAIN, ((cells >> 11) - 43) / L.GRAIN], axis=1)
+    w = L.fitted(cells, n)[:, 15]
+    loss = lambda v: n @ np.logaddexp(0, -(x @ v))
+    assert all(loss(w) <= loss(w + d) + 1e-6 for d in 0.01 * np.concatenate([np.eye(3), -np.eye(3)]))

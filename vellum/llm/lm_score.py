@@ -3,13 +3,14 @@
 Symbols: the words and the end of a text, lower-cased; the most frequent tokens that training texts have at least LEAST times, at most VOCABULARY, are symbols, any other word is an escape, its bytes and a terminator. Two
 Huffman trees, over the vocabulary and over bytes, turn a symbol into binary decisions. Three predictors know each decision's node in hashed contexts: none, the last symbol, and the last two symbols (not behind a rare word; where a byte is coded, the last two and the last three).
 What they count are zeros and ones over all training texts. A prediction's strength is the logarithm of its odds; strengths are added with weights that a gate selects (how often the node was
-seen in both contexts, and whether a word, a byte, or a word without a long context is coded) and become a probability. All texts start with the weights that were fitted to a bounded sample of training texts (see fitted) and refine them as they go: after each ROUND of decisions
+seen in both contexts, and whether a word, a byte, or a word without a long context is coded) and become a probability. All texts start with the weights that were fitted to the decisions of all training texts, each with the counts of all other occurrences (see learned, fitted), and refine them as they go: after each ROUND of decisions
 they take a gradient step. A text's score is the sum of log10 probabilities of its decisions, so it depends on the text, the counts and the starting weights alone; bits per byte follow from it.
 
 Counts grow with the input and are never gathered. A unit of texts sends the different pairs of context and symbol that it has, with how often its training texts have them, to ranges of hashed contexts. Leaves of a tree
 are numbered from left to right, so the symbols below a node are neighbours: a range merges its pairs, adds them up below each node on each symbol's way, and sends the strengths and counts' classes along each way back to the units
 that asked, a byte to a decision. Contexts' hashes have HASH_BITS bits more than the count of training tokens. Contexts of a single symbol that makes up 1 / HOT of all (at most HOT of them) are split by the first SPLIT decisions, so no range
 gets them whole; pairs are counted in the unit before they are sent, so a longer context that holds a third of all rows sends a unit's different followers only. A range keeps the compressed messages of its units while it merges them.
+The units with their answers are read twice from the one shuffle, first for the starting weights, then for the scores: what a decision knows falls into CELLS, only their counts come to the driver, and sums of whole numbers don't depend on how texts lie in units.
 
 Base: unigrams with add-one smoothing over all tokens, not only the vocabulary's. Words outside the vocabulary ask for their counts in the same way, by a 64-bit hash.
 
@@ -30,9 +31,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from vellum.llm.common import slices, table, texts
 from vellum.session import written
@@ -57,8 +59,8 @@ HOT, SPLIT = 256, 8
 FREQUENT = 1 << 10
 #: Steps of strength to a unit: with a class of two bits a byte holds it.
 GRAIN = 1.5
-#: Starting weights are fitted to at most FIT_TEXTS training texts of at most FIT_BYTES bytes, read FIT_ROUNDS times, against the counts of FIT_FOLDS - 1 of FIT_FOLDS parts of them.
-FIT_TEXTS, FIT_BYTES, FIT_ROUNDS, FIT_FOLDS = 512, 1 << 15, 3, 4
+#: Starting weights are fitted to the decisions of all training texts, counted by what is known of each: strengths without a context in PLAIN_STEPS steps to a unit, the others as 6 bits say. FIT_PRIOR holds weights of rare gates where they began.
+PLAIN_STEPS, FIT_PRIOR, FIT_ROUNDS = 4, 16.0, 30
 #: What keeps the parts of hot contexts apart from other contexts.
 _GROUP, _TOP = 0xA0761D6478BD642F, 0x5851F42D4C957F2D
 _TABLE = bytes(32 if b in b" \t\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -164,15 +166,19 @@ class Codes:
         self.byte_of = np.zeros(self.n, np.uint8)
         self.byte_of[self.bytes_at] = np.arange(256)
         self.sizes, self.code = sizes[order], code[order]
-        self.starts = (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
+        self.ways_at = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.starts = self.ways_at[:-1].astype(np.int32)
         step = np.arange(len(nodes)) - np.repeat(self.starts, self.sizes)
         nodes = nodes[np.repeat(starts[order], self.sizes) + step]
         bit = (np.repeat(self.code, self.sizes) >> (51 - step).astype(np.uint64) & np.uint64(1)).astype(bool)
         freq = np.concatenate(weights)[order]
         per = np.repeat(freq, self.sizes)
         total, ones = (np.bincount(nodes, w, minlength=inner + more) for w in (per, per * bit))
+        seen, taken = total[nodes], np.where(bit, ones[nodes], (total - ones)[nodes])
         #: For each decision of each way, the strength of its node without a context, towards the way.
-        self.plain = _strength(total[nodes], np.where(bit, ones[nodes], (total - ones)[nodes])).astype(np.float32)
+        self.plain = _strength(seen, taken).astype(np.float32)
+        #: The same in 5 bits, without one of those that took the way.
+        self.plain_less = (np.rint(np.clip(_strength(np.maximum(seen - 1, 0), np.maximum(taken - 1, 0)) * PLAIN_STEPS, -16, 15)) + 16).astype(np.int32)
         self.hot, self.frequent = (np.append(freq * k >= max(1, int(freq.sum())), k == FREQUENT) for k in (HOT, FREQUENT))
         group = self.code >> np.uint64(52 - SPLIT)
         first = _runs(group + (np.arange(self.n) >= self.n_words).astype(np.uint64) * np.uint64(1 << 60))
@@ -293,25 +299,60 @@ def ways(codes: Codes, keys: np.ndarray, times: np.ndarray) -> np.ndarray:
         active, near, own = active[keep], near[keep], own[keep]
         n[at.take(active) + depth] = total
         depth += 1
-    inner = np.ones(len(n), bool)
-    inner[at + size] = False
-    here = np.flatnonzero(inner)
-    seen, taken = n.take(here), n.take(here + 1)
-    out = _SMALL.take(np.minimum(seen, 63) << 6 | np.minimum(taken, 63))
-    large = np.flatnonzero(seen > 63)
-    out[large] = _steps(seen.take(large), taken.take(large))
-    return out
+    if not len(n):
+        return np.zeros(0, np.uint8)
+    inner = np.ones(len(n) - 1, bool)
+    inner[(at + size)[:-1]] = False
+    few = np.minimum(n, 63).astype(np.uint16)
+    pair = few[:-1] << np.uint16(6)
+    pair |= few[1:]
+    out = _SMALL.take(pair)
+    large = np.flatnonzero((pair >= 63 << 6) & inner)
+    out[large] = _steps(n.take(large), n.take(large + 1))
+    return out[inner]
+
+
+def _rounded(n: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    return np.rint(np.clip(_strength(n, taken) * GRAIN, -32, 31)).astype(np.int16)
 
 
 def _steps(n: np.ndarray, taken: np.ndarray) -> np.ndarray:
-    """The byte of a node that was met n times and left so many times on the way that is asked for."""
-    strength = np.rint(np.clip(_strength(n, taken) * GRAIN, -32, 31)).astype(np.int16)
-    return (strength << 2 | np.searchsorted(CLASSES, n, side="right")).astype(np.uint8)
+    """The byte of a node that was met n times and left so many times on the way that is asked for. It says strength and class (see _SAYS, _CLASS), and of small counts so much that one can be taken out again (see _LESS): both counts of the
+    first class; of the second n where all took the way, else a strength and whether n is above 10; of the third a strength, with bytes of their own where one or two took the way."""
+    strength, kind, few = _rounded(n, taken), np.searchsorted(CLASSES, n, side="right"), (taken == 1) | (taken == 2)
+    first = n * (n + 1) // 2 - 1 + taken
+    second = np.where(taken == n, n - 4, 28 + (strength + 8) * 2 + (n > 10))
+    third = np.where(few, (1 + (taken - 1) * 29 - 5 - strength) << 2, strength << 2 | 3)
+    return np.select([kind == 1, kind == 2, kind == 3], [first << 2 | 1, second << 2 | 2, third], 0).astype(np.uint8)
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What each byte says: the strength, the class, and both in 6 bits for the counts without one that took the way."""
+    says, kinds, less = np.zeros(256, np.float32), np.zeros(256, np.uint8), np.zeros(256, np.uint8)
+    # Counts that a byte of the second class stands for lie close together: those in the middle stand for all.
+    small = [(n, t) for n in range(1, CLASSES[2]) for t in range(n + 1)]
+    # One of many makes no difference to a strength of the third class, but where one or two took the way.
+    large = [(t - PRIOR + (t + PRIOR) * math.exp(-s / GRAIN), t) for t in (1, 2) for s in range(t - 6, -33, -1)]
+    n, taken = np.array(small + [(max(CLASSES[2] + 1, round(n)), t) for n, t in large]).T
+    byte, strength, kind = _steps(n, taken), _rounded(n, taken), np.searchsorted(CLASSES, n, side="right")
+    left = _six(_rounded(n - 1, np.maximum(taken - 1, 0)), np.searchsorted(CLASSES, n - 1, side="right"))
+    for b in np.unique(byte):
+        some = np.flatnonzero(byte == b)
+        k = some[len(some) // 2]
+        says[b], kinds[b], less[b] = strength[k] / GRAIN, kind[k], left[k]
+    s = np.arange(-32, 32)
+    third = (s << 2 | 3) & 255
+    says[third], kinds[third], less[third] = s / GRAIN, 3, _six(s, np.full(64, 3))
+    return says, kinds, less
+
+
+def _six(strength: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Class and strength in 6 bits: 1, 9, 17 and 32 of them to a class."""
+    return np.choose(kind, [0 * strength, 5 + strength, 18 + strength, 43 + np.clip(strength, -16, 15)])
 
 
 _SMALL = np.concatenate([_steps(np.full(64, n), np.minimum(np.arange(64), n)) for n in range(64)])
-#: The strength that a byte says.
-_SAYS = ((np.arange(256).astype(np.uint8).view(np.int8) >> 2) / GRAIN).astype(np.float32)
+_SAYS, _CLASS, _LESS = _tables()
 
 
 def answers(codes: Codes, keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -326,33 +367,39 @@ def answers(codes: Codes, keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarr
 
 
 def _taken(values: np.ndarray, at: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Rows of a ragged array, one behind the other."""
-    start = at.take(which)
-    size = at.take(which + 1) - start
-    ends = np.cumsum(size)
-    place = np.repeat(start - (ends - size), size)
-    place += np.arange(len(place))
-    return values.take(place)
+    """Rows of a ragged array, one behind the other; read only. Arrow copies each as bytes, which is faster than place by place."""
+    n = values.itemsize
+    rows = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at, np.int64) * n), pa.py_buffer(np.ascontiguousarray(values))])
+    _, ends, data = rows.take(pa.array(which)).buffers()
+    size = int(np.frombuffer(ends, np.int64)[len(which)]) if len(which) else 0
+    return np.frombuffer(data, np.uint8)[:size].view(values.dtype) if size else values[:0]
 
 
 def mixed(plain: np.ndarray, seen: list[np.ndarray], kind: np.ndarray, sizes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """log10 probability of each text and its last weights, from its decisions' strengths without a context, what was seen in contexts, and what is coded (0 word, 1 byte, 2 word without a long context). sizes: how many decisions each text has; weights: predictors by gates."""
-    gate = (seen[0] & np.uint8(3)) * np.uint8(4) + (seen[1] & np.uint8(3)) + np.uint8(16) * kind
+    gate = _CLASS.take(seen[0]) * np.uint8(4) + _CLASS.take(seen[1]) + np.uint8(16) * kind
     d = len(sizes)
     now = [np.repeat(w[None, :], d, axis=0).astype(np.float32).ravel() for w in weights]
     total, starts = np.zeros(d), np.cumsum(sizes) - sizes
-    lo, most, rounds = 0, int(sizes.max(initial=0)), 0
-    while lo < most:
-        hi = lo + (ROUND if rounds < EARLY else LATER)
-        active = np.flatnonzero(sizes > lo)
-        n = np.minimum(sizes[active], hi) - lo
+    # Each text's rounds are pieces; they are put behind each other round by round.
+    early = ROUND * EARLY
+    many = -(-np.minimum(sizes, early) // ROUND) + -(-np.maximum(sizes - early, 0) // LATER)
+    text = np.repeat(np.arange(d), many)
+    rounds = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    cuts = np.append(starts[text] + np.minimum(rounds, EARLY) * ROUND + np.maximum(rounds - EARLY, 0) * LATER, len(plain))
+    order = np.argsort(rounds, kind="stable")
+    plain, gate, *seen = (_taken(x, cuts, order) for x in (plain, gate, *seen))
+    text, size = text[order], np.diff(cuts)[order]
+    firsts = _runs(rounds[order])
+    hi = 0
+    for a, b in zip(firsts, [*firsts[1:], len(order)]):
+        active, n = text[a:b], size[a:b]
         ends = np.cumsum(n)
-        begins = ends - n
-        pick = np.repeat(starts[active] + lo - begins, n)
-        pick += np.arange(ends[-1])
+        begins, lo = ends - n, hi
+        hi = lo + int(ends[-1])
         cell = np.repeat(active * GATES, n)
-        cell += gate.take(pick)
-        xs = [plain.take(pick), *(_SAYS.take(a.take(pick)) for a in seen)]
+        cell += gate[lo:hi]
+        xs = [plain[lo:hi].copy(), *(_SAYS.take(x[lo:hi]) for x in seen)]
         odds = now[0].take(cell)
         odds *= xs[0]
         for w, a in zip(now[1:], xs[1:]):
@@ -368,7 +415,6 @@ def mixed(plain: np.ndarray, seen: list[np.ndarray], kind: np.ndarray, sizes: np
         for w, a in zip(now, xs):
             a *= miss
             w += (step * np.bincount(cell, a, minlength=GATES * d)).astype(np.float32)
-        lo, rounds = hi, rounds + 1
     return -total / math.log(10), np.stack([w.reshape(d, GATES) for w in now], axis=1)
 
 
@@ -393,12 +439,15 @@ class Unit:
         sizes = codes.sizes[(ordered[first] & np.uint64((1 << SYMBOL_BITS) - 1)).astype(np.int64)]
         if int(sizes.sum()) != len(values):
             raise RuntimeError("answers of another unit")
-        offsets = (np.cumsum(sizes) - sizes).astype(np.int32)
-        begin = np.empty(len(every), np.int32)
-        begin[order] = np.repeat(offsets, np.diff(np.append(first, len(every))))
+        self.offsets = offsets = np.concatenate([[0], np.cumsum(sizes)])
+        place = np.empty(len(every), np.int32)
+        place[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(every))))
         self.values, n = values, len(symbols)
-        self.short, self.long, top = begin[:n], np.zeros(n, np.int32), np.zeros(n, np.int32)
-        self.long[deep], top[hot] = np.split(begin[n:], [np.count_nonzero(deep)])
+        self.order, self.first, self.deep = order, first, deep
+        #: The places of each symbol's keys; where there is no long context, that of the short one again.
+        self.short = place[:n]
+        self.long, top = self.short.copy(), np.zeros(n, np.int32)
+        self.long[deep], top[hot] = np.split(place[n:], [np.count_nonzero(deep)])
         #: What is coded: 0 a word, 1 a byte, 2 a word without a long context.
         self.kind = (symbols >= codes.n_words).view(np.uint8) + np.uint8(2) * ~deep
         # The first decisions behind hot words are known from keys of their own; they are put in place once for each key.
@@ -408,7 +457,7 @@ class Unit:
         size = np.minimum(codes.sizes[symbols[one]], SPLIT)
         for k in range(SPLIT):
             at = one[size > k]
-            values[self.short[at] + k] = values[top[at] + k]
+            values[offsets[self.short[at]] + k] = values[offsets[top[at]] + k]
 
     def scored(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability and last weights of each text; whole texts, about CHUNK symbols, at once: those of about a length, so that rounds have many texts."""
@@ -421,47 +470,75 @@ class Unit:
         return scores, last
 
     def _scored(self, some: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        codes, n = self.codes, np.diff(self.at)[some]
+        n = np.diff(self.at)[some]
         stops = np.cumsum(n)
-        s = np.repeat(self.at[some] - (stops - n), n) + np.arange(stops[-1])
+        plain, seen, kind, ends = self._known(np.repeat(self.at[some] - (stops - n), n) + np.arange(stops[-1]), self.codes.plain, self.values)
+        return mixed(plain, seen, kind, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], stops])]), weights)
+
+    def _known(self, s: np.ndarray, plain: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+        """Of the decisions of the symbols at some places, what is known without a context and in each, what is coded, and where each symbol's end."""
+        codes = self.codes
         symbols = self.symbols.take(s)
         size = codes.sizes.take(symbols)
-        ends = np.cumsum(size, dtype=np.int64)
-        step = np.arange(ends[-1] if len(ends) else 0)
-
-        def along(starts: np.ndarray) -> np.ndarray:
-            """The places of each symbol's decisions from the first one's."""
-            out = np.repeat(starts - (ends - size), size)
-            out += step
-            return out
-
-        sizes = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], stops])])
         kind = np.repeat(self.kind.take(s), size)
-        seen = [self.values.take(along(x.take(s))) for x in (self.short, self.long)]
-        seen[1] *= kind != 2
-        return mixed(codes.plain.take(along(codes.starts.take(symbols))), seen, kind, sizes, weights)
-
-
-def fitted(codes: Codes, bodies: list[bytes]) -> np.ndarray:
-    """Starting weights: texts in FIT_FOLDS parts, each part read as one text with the counts of the others, FIT_ROUNDS times, the weights going on from part to part."""
+        short, long = (_taken(values, self.offsets, x.take(s)) for x in (self.short, self.long))
+        return _taken(plain, codes.ways_at, symbols), [short, long * (kind != 2)], kind, np.cumsum(size, dtype=np.int64)
+
+    def learned(self, held: np.ndarray) -> np.ndarray:
+        """How many decisions of the texts not held out there are of each cell: what is known from all occurrences but the decision's own. Equal symbols in equal contexts are looked at once, where they have a long context in that, else in the short one."""
+        n, places = len(self.symbols), np.flatnonzero(self.deep)
+        learns = np.repeat(~held, np.diff(self.at))
+        every = np.concatenate([learns & ~self.deep, learns[places], np.zeros(len(self.order) - n - len(places), bool)])
+        times = np.add.reduceat(every.take(self.order), self.first, dtype=np.int64) if n else np.zeros(0, np.int64)
+        which = np.flatnonzero(times)
+        one, times = self.order.take(self.first.take(which)), times.take(which)
+        long = one >= n
+        one[long] = places.take(one[long] - n)
+        out, values = np.zeros(CELLS), _LESS.take(self.values)
+        for at in range(0, len(one), CHUNK):
+            s = one[at : at + CHUNK]
+            plain, seen, kind, _ = self._known(s, self.codes.plain_less, values)
+            cell = plain | seen[0].astype(np.int32) << 5
+            for k, x in ((11, seen[1]), (17, kind)):
+                cell |= x.astype(np.int32) << k
+            out += np.bincount(cell, np.repeat(times[at : at + CHUNK], self.codes.sizes.take(self.symbols.take(s))), CELLS)
+        return out.astype(np.int64)
+
+
+#: What is coded, and what is known in the long context, in the short one and without one, in 2, 6, 6 and 5 bits.
+CELLS = 3 << 17
+
+
+def fitted(cells: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Starting weights that give the decisions of all training texts the highest probability, by Newton's method, each gate for itself. cells with n decisions each, in order."""
+    strength = np.concatenate([[0], np.arange(-4, 5), np.arange(-8, 9), np.arange(-16, 16), np.zeros(5)]) / GRAIN
+    kinds = np.repeat([0, 1, 2, 3, 0], [1, 9, 17, 32, 5])
+    short, long = cells >> 5 & 63, cells >> 11 & 63
+    gate = kinds[short] * 4 + kinds[long] + 16 * (cells >> 17)
+    x = np.stack([((cells & 31) - 16) / PLAIN_STEPS, strength[short], strength[long]], axis=1)
     weights = starting_weights()
-    if len(bodies) < FIT_FOLDS:
-        return weights
-    symbols, at = codes.symbols(*tokenised(bodies))
-    fold = np.arange(len(bodies)) % FIT_FOLDS
-    units = []
-    for f in range(FIT_FOLDS):
-        keys, times, _, _ = asked(codes, symbols, at, fold == f)
-        values, begins = answers(codes, keys, times)
-        mine = np.flatnonzero(fold == f)
-        part, part_at = codes.symbols(*tokenised([bodies[i] for i in mine]))
-        own = asked(codes, part, part_at, np.ones(len(mine), bool))[0]
-        unit = Unit(codes, part, part_at, _taken(values, begins, np.searchsorted(keys, own)))
-        unit.at = unit.at[[0, -1]]
-        units.append(unit)
-    for _ in range(FIT_ROUNDS):
-        for unit in units:
-            weights = unit.scored(weights)[1][0]
+    for g in np.unique(gate):
+        some = gate == g
+        a, m, start = x[some], n[some].astype(np.float64), weights[:, g].copy()
+
+        def loss(w: np.ndarray) -> float:
+            return float(m @ np.logaddexp(0, -(a @ w)) + FIT_PRIOR / 2 * ((w - start) @ (w - start)))
+
+        w, now = start, loss(start)
+        for _ in range(FIT_ROUNDS):
+            miss = 1 / (1 + np.exp(np.clip(a @ w, -50, 50)))
+            slope = FIT_PRIOR * (w - start) - a.T @ (m * miss)
+            step = np.linalg.solve((a * (m * miss * (1 - miss))[:, None]).T @ a + FIT_PRIOR * np.eye(3), slope)
+            far = 1.0
+            while far > 1e-6 and not (after := loss(w - far * step)) < now:
+                far /= 2
+            if far <= 1e-6:
+                break
+            done = now - after < 1e-9 * now
+            w, now = w - far * step, after
+            if done:
+                break
+        weights[:, g] = w
     return weights
 
 
@@ -490,7 +567,7 @@ def _asks(shared, ranges: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     """What each unit tells and asks each of 2 ** ranges ranges of keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: Codes = shared.value.codes
+        codes: Codes = shared.value
         edges = np.arange((1 << ranges) + 1, dtype=object)
         key_edges, word_edges = ([min(int(e) << bits - ranges, (1 << 64) - 1) for e in edges] for bits in (codes.hash_bits + SYMBOL_BITS, 64))
         zipped = zstandard.ZstdCompressor(level=1)
@@ -539,11 +616,11 @@ def _answer(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
             for p, g, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if p != now:
                     if held:
-                        yield from answered(shared.value.codes, now, held)
+                        yield from answered(shared.value, now, held)
                     now, held = p, []
                 held.append((g, data))
         if held:
-            yield from answered(shared.value.codes, now, held)
+            yield from answered(shared.value, now, held)
 
     return run
 
@@ -552,7 +629,7 @@ def _pieces(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
     """The units themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g, part, bodies, held, symbols, at in _units(shared.value.codes, batches):
+        for g, part, bodies, held, symbols, at in _units(shared.value, batches):
             docs = pa.RecordBatch.from_arrays([part.column(0), pa.array(held), pa.array([len(b) for b in bodies], pa.int64()), pa.array(np.diff(at), pa.int64())], ["doc_id", "held_out", "n_bytes", "n_symbols"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, docs.schema) as w:
@@ -566,11 +643,11 @@ def _pieces(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long"
 
 
-def _scores(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Scores of units: each unit's own row is followed by its answers, by range."""
+def _delivered(codes: Codes, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Unit, np.ndarray]]:
+    """Units of texts: the documents, the unit, and its words' counts. Each unit's own row is followed by its answers, by range."""
+    unzip = zstandard.ZstdDecompressor()
 
-    def scored(model: Model, piece: bytes, found: list[bytes]) -> pa.RecordBatch:
-        codes, unzip = model.codes, zstandard.ZstdDecompressor()
+    def made(piece: bytes, found: list[bytes]) -> tuple[pa.RecordBatch, Unit, np.ndarray]:
         raw = unzip.decompress(piece)
         head = int.from_bytes(raw[:8], "little")
         docs = pa.ipc.open_stream(raw[8 : 8 + head]).read_next_batch()
@@ -583,33 +660,55 @@ def _scores(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
             k, rest = _unpacked(x[8:], ("<i8", int(x[:8].view("<i8")[0])))
             counts.append(k)
             values.append(rest)
-        scores, _ = Unit(codes, symbols, at, np.concatenate(values)).scored(model.weights)
-        word = symbols < codes.n_words
-        doc = np.repeat(np.arange(docs.num_rows), np.diff(at))
-        base, rank = codes.logs[codes.rank[symbols[word]]], codes.rank[symbols[word]]
-        known, (place, hashes) = (rank >= 0).astype(np.int64), codes.spelled(symbols)
-        # The place of each word's first symbol among those of words.
-        c = np.concatenate(counts)[np.unique(hashes, return_inverse=True)[1]]
-        lost = (np.cumsum(word) - 1)[place]
-        base[lost], known[lost] = np.log10(c + 1.0), c > 0
-        of, d = doc[word], docs.num_rows
-        return pa.RecordBatch.from_arrays(
-            [docs.column(0), docs.column(1), pa.array(np.bincount(of, minlength=d)), pa.array(np.bincount(of, known, minlength=d).astype(np.int64)), pa.array(np.bincount(of, base, minlength=d)), pa.array(scores), docs.column(2)],
-            [x.split()[0] for x in _SCORED.split(", ")],
-        )
+        return docs, Unit(codes, symbols, at, np.concatenate(values)), np.concatenate(counts)
+
+    piece, found = None, []
+    for batch in batches:
+        for p, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            if p < 0:
+                if piece:
+                    yield made(piece, found)
+                piece, found = data, []
+            else:
+                found.append(data)
+    if piece:
+        yield made(piece, found)
+
+
+def _learned(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The cells of the training texts' decisions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece, found = None, []
-        for batch in batches:
-            for p, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                if p < 0:
-                    if piece:
-                        yield scored(shared.value, piece, found)
-                    piece, found = data, []
-                else:
-                    found.append(data)
-        if piece:
-            yield scored(shared.value, piece, found)
+        out = np.zeros(CELLS, np.int64)
+        for docs, unit, _ in _delivered(shared.value, batches):
+            out += unit.learned(docs.column(1).to_numpy(zero_copy_only=False))
+        some = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(out[some])], ["cell", "n"])
+
+    return run
+
+
+def _scores(shared, weights: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Scores of units."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: Codes = shared.value
+        for docs, unit, counts in _delivered(codes, batches):
+            scores, _ = unit.scored(weights)
+            symbols, at = unit.symbols, unit.at
+            word = symbols < codes.n_words
+            doc = np.repeat(np.arange(docs.num_rows), np.diff(at))
+            base, rank = codes.logs[codes.rank[symbols[word]]], codes.rank[symbols[word]]
+            known, (place, hashes) = (rank >= 0).astype(np.int64), codes.spelled(symbols)
+            # The place of each word's first symbol among those of words.
+            c = counts[np.unique(hashes, return_inverse=True)[1]]
+            lost = (np.cumsum(word) - 1)[place]
+            base[lost], known[lost] = np.log10(c + 1.0), c > 0
+            of, d = doc[word], docs.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [docs.column(0), docs.column(1), pa.array(np.bincount(of, minlength=d)), pa.array(np.bincount(of, known, minlength=d).astype(np.int64)), pa.array(np.bincount(of, base, minlength=d)), pa.array(scores), docs.column(2)],
+                [x.split()[0] for x in _SCORED.split(", ")],
+            )
 
     return run
 
@@ -645,26 +744,34 @@ def _vocabulary(counts: DataFrame) -> pa.Table:
     return taken.toArrow().sort_by([("n", "descending"), ("token", "ascending")]).slice(0, VOCABULARY).combine_chunks()
 
 
-def _sample(source: DataFrame) -> list[bytes]:
-    """At most FIT_TEXTS training texts, chosen by a hash of doc_id."""
-    every = max(1, source.count() // FIT_TEXTS)
-    some = source.filter((F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(every)) == 0) & (F.length("text") <= FIT_BYTES) & F.col("doc_id").isNotNull())
-    rows = sorted((r["doc_id"], bytes(r["text"])) for r in some.limit(FIT_TEXTS).collect())
-    return [text for i, text in rows if not held_out(i)]
+def _kept(df: DataFrame) -> DataFrame:
+    """The same rows for several uses: their shuffle is run once and read by each, with no copy on disk."""
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), spark)
 
 
-def trained(source: DataFrame) -> tuple[Model, int, int]:
-    """Codes and starting weights, how many training tokens there are and how many different ones. source: doc_id, text (binary)."""
+def _prepared(source: DataFrame) -> tuple[Model, int, int, Broadcast, DataFrame]:
+    """The model, how many training tokens there are and how many different ones, the codes for the executors, and all units with their answers. source: doc_id, text (binary)."""
     spark = source.sparkSession
     counts = written(source.mapInArrow(_counted, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    top = _vocabulary(counts)
+    top, n = _vocabulary(counts), total["n"] or 0
     spelled = np.zeros(258, np.int64)
     words = top.column("token").cast(pa.binary()).combine_chunks()
     for r in counts.mapInArrow(_spelled(spark.sparkContext.broadcast(words)), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).collect():
         spelled[r["s"]] = r["n"]
-    codes = Codes(words, top.column("n").to_numpy(), spelled, total["n"] or 0)
-    return Model(codes, fitted(codes, _sample(source))), total["n"] or 0, total["v"]
+    codes = Codes(words, top.column("n").to_numpy(), spelled, n)
+    shared = spark.sparkContext.broadcast(codes)
+    ranges, parts = max(1, n // RANGE).bit_length(), max(1, n // PART)
+    told = source.mapInArrow(_asks(shared, ranges), _ROWS).repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_answer(shared), _ROWS)
+    units = _kept(source.mapInArrow(_pieces(shared), _ROWS).union(told).repartition(parts, "g").sortWithinPartitions("g", "p"))
+    cells = units.mapInArrow(_learned(shared), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().sort_by("cell")
+    return Model(codes, fitted(cells.column("cell").to_numpy(), cells.column("n").to_numpy())), n, total["v"], shared, units
+
+
+def trained(source: DataFrame) -> tuple[Model, int, int]:
+    """Codes and starting weights, how many training tokens there are and how many different ones. source: doc_id, text (binary)."""
+    return _prepared(source)[:3]
 
 
 def scored(docs: DataFrame, stable: bool = False) -> DataFrame:
@@ -673,11 +780,8 @@ def scored(docs: DataFrame, stable: bool = False) -> DataFrame:
     source = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     if not stable:
         source = written(source, "texts")
-    model, n, v = trained(source)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    ranges, parts = max(1, n // RANGE).bit_length(), max(1, n // PART)
-    told = source.mapInArrow(_asks(shared, ranges), _ROWS).repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_answer(shared), _ROWS)
-    rows = source.mapInArrow(_pieces(shared), _ROWS).union(told).repartition(parts, "g").sortWithinPartitions("g", "p").mapInArrow(_scores(shared), _SCORED)
+    model, n, v, shared, units = _prepared(source)
+    rows = units.mapInArrow(_scores(shared, model.weights), _SCORED)
     base = F.col("base") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
     bits = F.when(F.col("n_bytes") > 0, -F.col("score") * F.lit(math.log2(10)) / F.col("n_bytes"))
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))
