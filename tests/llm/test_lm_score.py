@@ -205,3 +205,34 @@ def test_fitted_weights_are_the_best(monkeypatch):
     w = L.fitted(cells, n)[:, 15]
     loss = lambda v: n @ np.logaddexp(0, -(x @ v))
     assert all(loss(w) <= loss(w + d) + 1e-6 for d in 0.01 * np.concatenate([np.eye(3), -np.eye(3)]))
+
+
+def test_many_batches_share_a_look_up(monkeypatch):
+    """Counts come in batches of ten thousand; a look-up makes a table of hashes of the whole vocabulary, so there is one for many batches."""
+    calls, found = [], L.pc.index_in
+    monkeypatch.setattr(L.pc, "index_in", lambda *a, **k: calls.append(1) or found(*a, **k))
+
+    class Known:
+        value = pa.array([b"the", b"cat", b""], pa.binary())
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["the", "cat", "", "zebra", "é\x00é", f"w{i}"]).encode(), rng.randrange(1, 9)) for i in range(500)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows[a : a + 10]], pa.binary()), pa.array([n for _, n in rows[a : a + 10]], pa.int64())], ["token", "n"]) for a in range(0, 500, 10)]
+    got = next(L._spelled(Known)(iter([*batches, batches[0].slice(0, 0)])))
+    out = dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))
+    want = Counter()
+    for w, n in rows:
+        if w not in (b"the", b"cat", b""):
+            for s in (0, *(b + 1 for b in w), 257):
+                want[s] += n
+    assert {s: n for s, n in out.items() if n} == want and len(calls) == 1
+
+
+def test_tokens_are_those_of_plain_python():
+    bodies = ["", " ", "a", " a\t\tB  a ", "\x0b\r\n", "É É\x1cx", "end\n", "a" * 300, "x y z"]
+    words, of, at = L.tokenised([b.encode() for b in bodies])
+    got = words.to_pylist()
+    assert len(set(got)) == len(got) and at.tolist()[0] == 0 and len(at) == len(bodies) + 1
+    assert [[got[k] for k in of[a:b]] for a, b in zip(at, at[1:])] == [tokens(b) for b in bodies]
+    words, of, at = L.tokenised([b" ", b""])
+    assert (words.to_pylist(), of.tolist(), at.tolist()) == ([b""], [0, 0], [0, 1, 2])

@@ -24,6 +24,7 @@ import heapq
 import math
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
@@ -42,7 +43,7 @@ from vellum.session import written
 FOLDS, HELD_OUT = 7, 2
 VOCABULARY, LEAST, SHARES = (1 << 18) - 1024, 2, 1024
 #: Bytes of text in a unit; symbols whose decisions are worked on at once; pairs of a range that are added up at once.
-UNIT_BYTES, CHUNK, MERGED = 4 << 20, 1 << 17, 1 << 15
+UNIT_BYTES, CHUNK, MERGED = 4 << 20, 1 << 16, 1 << 15
 #: Decisions between two refinements in a text's first rounds and later.
 ROUND, EARLY, LATER = 256, 16, 2048
 #: A node's class in a context: how often it was seen, at least. The step of refinement, and what counts have in advance.
@@ -72,15 +73,38 @@ def held_out(doc_id: int | None) -> bool:
 
 def tokenised(bodies: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The different tokens of texts (b"" is the end), each text's tokens as places in them, and where each text's begin."""
-    split = pc.split_pattern(pa.array([b.translate(_TABLE) for b in bodies], pa.binary()), b" ")
-    coded = split.flatten().dictionary_encode()
-    of, filled = coded.indices.to_numpy(), pc.not_equal(coded.dictionary, b"").to_numpy(zero_copy_only=False)
-    real = filled[of]
-    counts = np.concatenate([[0], np.cumsum(real)])[split.offsets.to_numpy()]
-    tokens, end = coded.dictionary, int(np.flatnonzero(~filled)[0]) if not filled.all() else len(filled)
-    if end == len(filled):
-        tokens = pa.concat_arrays([tokens, pa.array([b""], pa.binary())])
-    return tokens, np.insert(of[real], counts[1:], end), counts + np.arange(len(counts))
+    # Each text ends with a blank, so every token does, and blanks alone are left out.
+    data = np.frombuffer(b"".join([b.translate(_TABLE) + b" " for b in bodies]), np.uint8)
+    kept = data != 32
+    blanks = np.flatnonzero(~kept)
+    ends = blanks - np.arange(len(blanks))
+    real = np.diff(ends, prepend=0) > 0
+    stops = np.cumsum(np.fromiter(map(len, bodies), np.int64, len(bodies)) + 1) - 1
+    counts = np.concatenate([[0], np.cumsum(real)[np.searchsorted(blanks, stops)]])
+    # The end stands behind all tokens.
+    coded = _binary(np.concatenate([[0], ends[real], ends[-1:]]), data[kept]).dictionary_encode()
+    of = coded.indices.to_numpy()
+    return coded.dictionary, np.insert(of[:-1], counts[1:], of[-1]), counts + np.arange(len(counts))
+
+
+def _binary(at: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Binary values that lie one behind the other, from where each begins."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+
+
+def _joined(values: pa.Array) -> np.ndarray:
+    """The bytes of binary values, one behind the other."""
+    _, ends, data = values.buffers()
+    if not len(values) or data is None:
+        return np.zeros(0, np.uint8)
+    at = np.frombuffer(ends, np.int32)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+
+
+def _hashes(at: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """The 64-bit hashes of binary values, from where each begins."""
+    raw, cuts = data.tobytes(), at.tolist()
+    return np.fromiter((xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(cuts, cuts[1:])), np.uint64, len(cuts) - 1)
 
 
 def _training(part: pa.RecordBatch) -> tuple[list[bytes], list[bool]]:
@@ -132,11 +156,21 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
 
 
+def _ranks(first: np.ndarray, n: int) -> np.ndarray:
+    """For each of n values the number of its run, from where the runs begin."""
+    ranks = np.zeros(n, np.int32)
+    ranks[first[1:]] = 1
+    return np.cumsum(ranks, out=ranks)
+
+
 def _mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     x = x ^ np.uint64(salt)
-    x = (x + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(29))
+    x += np.uint64(0x9E3779B97F4A7C15)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(29)
+    return x
 
 
 def _strength(n: np.ndarray, taken: np.ndarray) -> np.ndarray:
@@ -178,13 +212,20 @@ class Codes:
         #: For each decision of each way, the strength of its node without a context, towards the way.
         self.plain = _strength(seen, taken).astype(np.float32)
         #: The same in 5 bits, without one of those that took the way.
-        self.plain_less = (np.rint(np.clip(_strength(np.maximum(seen - 1, 0), np.maximum(taken - 1, 0)) * PLAIN_STEPS, -16, 15)) + 16).astype(np.int32)
+        self.plain_less = (np.rint(np.clip(_strength(np.maximum(seen - 1, 0), np.maximum(taken - 1, 0)) * PLAIN_STEPS, -16, 15)) + 16).astype(np.uint8)
         self.hot, self.frequent = (np.append(freq * k >= max(1, int(freq.sum())), k == FREQUENT) for k in (HOT, FREQUENT))
         group = self.code >> np.uint64(52 - SPLIT)
         first = _runs(group + (np.arange(self.n) >= self.n_words).astype(np.uint64) * np.uint64(1 << 60))
+        #: The mixed numbers of all symbols, and of none.
+        self.mixed = _mixed(np.arange(self.n + 1, dtype=np.uint64))
         #: The first leaf below the same node at depth SPLIT.
         self.first = np.repeat(first, np.diff(np.append(first, self.n))).astype(np.int32)
 
+    @cached_property
+    def ways(self) -> tuple[pa.Array, pa.Array]:
+        """plain and plain_less by symbol."""
+        return _ragged(self.plain, self.ways_at), _ragged(self.plain_less, self.ways_at)
+
     def symbols(self, tokens: pa.Array, of: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbols of texts, and where each text's begin."""
         rank = pc.fill_null(pc.index_in(tokens, value_set=self.words), -1).to_numpy()
@@ -196,13 +237,16 @@ class Codes:
         values[starts] = np.where(lost, self.escape, self.leaf[rank])
         values[ends[lost] - 1] = self.stop
         plain[starts] = plain[ends[lost] - 1] = False
-        values[plain] = self.bytes_at[np.frombuffer(b"".join(tokens.filter(pa.array(lost)).to_pylist()), np.uint8)]
+        values[plain] = self.bytes_at[_joined(tokens.filter(pa.array(lost)))]
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values))
         taken = lists.take(pa.array(of))
         return taken.flatten().to_numpy(), taken.offsets.to_numpy()[at]
 
     def key(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        return context >> np.uint64(64 - self.hash_bits) << np.uint64(SYMBOL_BITS) | symbol.astype(np.uint64)
+        key = context >> np.uint64(64 - self.hash_bits)
+        key <<= np.uint64(SYMBOL_BITS)
+        key |= symbol.astype(np.uint64)
+        return key
 
     def keys(self, symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The keys of all symbols in the short context, of some in the long one, and of the first decisions of some; which have a long context, and which words stand behind a hot symbol."""
@@ -217,15 +261,19 @@ class Codes:
         last = shifted(symbols)
         second = shifted(last)
         third = shifted(second)
-        spells, group = symbols >= self.n_words, self.first.take(symbols)
+        spells = symbols >= self.n_words
         hot = self.hot.take(last) & ~spells
-        one = _mixed(last.astype(np.uint64))
-        two = _mixed(one ^ second.astype(np.uint64))
-        three = _mixed(two ^ third.astype(np.uint64))
-        short = np.where(hot, _mixed(one + group.astype(np.uint64), _GROUP), np.where(spells, two, one))
         deep = spells | self.frequent.take(last)
-        long = np.where(spells, three, two)[deep]
-        return np.concatenate([self.key(short, symbols), self.key(long, symbols[deep]), self.key(_mixed(one[hot], _TOP), group[hot])]), deep, hot
+        one = self.mixed.take(last)
+        behind = np.flatnonzero(deep)
+        two = _mixed(one.take(behind) ^ second.take(behind).astype(np.uint64))
+        among = np.flatnonzero(spells.take(behind))
+        bytes_at, hot_at = behind.take(among), np.flatnonzero(hot)
+        group, single = self.first.take(symbols.take(hot_at)), one.take(hot_at)
+        one[bytes_at] = two.take(among)
+        one[hot_at] = _mixed(single + group.astype(np.uint64), _GROUP)
+        two[among] = _mixed(two.take(among) ^ third.take(bytes_at).astype(np.uint64))
+        return np.concatenate([self.key(one, symbols), self.key(two, symbols.take(behind)), self.key(_mixed(single, _TOP), group)]), deep, hot
 
     def spelled(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where words outside the vocabulary begin, and their hashes."""
@@ -233,8 +281,7 @@ class Codes:
         inside = symbols >= self.n_words
         inside[ends] = False
         sizes = ends - at - 1
-        words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32).tobytes()), pa.py_buffer(self.byte_of[symbols[inside]].tobytes())])
-        return at, np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist()), np.uint64, len(at))
+        return at, _hashes(np.concatenate([[0], np.cumsum(sizes)]), self.byte_of.take(symbols[inside]))
 
 
 def _packed(sizes: tuple[int, ...], *arrays: np.ndarray) -> bytes:
@@ -258,7 +305,7 @@ def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray
     ordered = keys.take(order)
     first = _runs(ordered)
     place = np.empty(len(keys), np.int64)
-    place[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+    place[order] = _ranks(first, len(keys))
     return ordered[first], np.add.reduceat(times[order], first) if len(first) else times[:0], place
 
 
@@ -308,7 +355,7 @@ def ways(codes: Codes, keys: np.ndarray, times: np.ndarray) -> np.ndarray:
     pair |= few[1:]
     out = _SMALL.take(pair)
     large = np.flatnonzero((pair >= 63 << 6) & inner)
-    out[large] = _steps(n.take(large), n.take(large + 1))
+    out[large] = _third(n.take(large), n.take(large + 1))
     return out[inner]
 
 
@@ -319,11 +366,19 @@ def _rounded(n: np.ndarray, taken: np.ndarray) -> np.ndarray:
 def _steps(n: np.ndarray, taken: np.ndarray) -> np.ndarray:
     """The byte of a node that was met n times and left so many times on the way that is asked for. It says strength and class (see _SAYS, _CLASS), and of small counts so much that one can be taken out again (see _LESS): both counts of the
     first class; of the second n where all took the way, else a strength and whether n is above 10; of the third a strength, with bytes of their own where one or two took the way."""
-    strength, kind, few = _rounded(n, taken), np.searchsorted(CLASSES, n, side="right"), (taken == 1) | (taken == 2)
+    strength, kind = _rounded(n, taken), np.searchsorted(CLASSES, n, side="right")
     first = n * (n + 1) // 2 - 1 + taken
     second = np.where(taken == n, n - 4, 28 + (strength + 8) * 2 + (n > 10))
-    third = np.where(few, (1 + (taken - 1) * 29 - 5 - strength) << 2, strength << 2 | 3)
-    return np.select([kind == 1, kind == 2, kind == 3], [first << 2 | 1, second << 2 | 2, third], 0).astype(np.uint8)
+    return np.select([kind == 1, kind == 2, kind == 3], [first << 2 | 1, second << 2 | 2, _third(n, taken)], 0).astype(np.uint8)
+
+
+def _third(n: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """The same of counts of the third class."""
+    strength = _rounded(n, taken)
+    out = (strength << 2 | 3).astype(np.uint8)
+    few = np.flatnonzero((taken == 1) | (taken == 2))
+    out[few] = (1 + (taken[few] - 1) * 29 - 5 - strength[few]) << 2
+    return out
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -353,6 +408,8 @@ def _six(strength: np.ndarray, kind: np.ndarray) -> np.ndarray:
 
 _SMALL = np.concatenate([_steps(np.full(64, n), np.minimum(np.arange(64), n)) for n in range(64)])
 _SAYS, _CLASS, _LESS = _tables()
+#: Their parts of a gate and of a cell.
+_SHORT_CLASS, _SHORT_LESS, _LONG_LESS = _CLASS * np.uint8(4), _LESS.astype(np.int64) << 5, _LESS.astype(np.int64) << 11
 
 
 def answers(codes: Codes, keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -366,18 +423,21 @@ def answers(codes: Codes, keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarr
     return np.concatenate(out) if out else np.zeros(0, np.uint8), np.concatenate([[0], np.cumsum(codes.sizes[(keys & np.uint64((1 << SYMBOL_BITS) - 1)).astype(np.int64)])])
 
 
-def _taken(values: np.ndarray, at: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Rows of a ragged array, one behind the other; read only. Arrow copies each as bytes, which is faster than place by place."""
+def _ragged(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """A ragged array as Arrow's, from where each row begins."""
     n = values.itemsize
-    rows = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at, np.int64) * n), pa.py_buffer(np.ascontiguousarray(values))])
-    _, ends, data = rows.take(pa.array(which)).buffers()
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at, np.int64) * n), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _taken(rows: pa.Array, which: np.ndarray, kind: type) -> np.ndarray:
+    """Rows of a ragged array, one behind the other; read only. Arrow copies each as bytes, which is faster than place by place. Places aren't checked."""
+    _, ends, data = pc.take(rows, pa.array(which), boundscheck=False).buffers()
     size = int(np.frombuffer(ends, np.int64)[len(which)]) if len(which) else 0
-    return np.frombuffer(data, np.uint8)[:size].view(values.dtype) if size else values[:0]
+    return np.frombuffer(data, np.uint8)[:size].view(kind) if size else np.zeros(0, kind)
 
 
-def mixed(plain: np.ndarray, seen: list[np.ndarray], kind: np.ndarray, sizes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 probability of each text and its last weights, from its decisions' strengths without a context, what was seen in contexts, and what is coded (0 word, 1 byte, 2 word without a long context). sizes: how many decisions each text has; weights: predictors by gates."""
-    gate = _CLASS.take(seen[0]) * np.uint8(4) + _CLASS.take(seen[1]) + np.uint8(16) * kind
+def mixed(plain: np.ndarray, seen: list[np.ndarray], gate: np.ndarray, sizes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 probability of each text and its last weights, from its decisions' strengths without a context, what was seen in contexts, and their gates. sizes: how many decisions each text has; weights: predictors by gates."""
     d = len(sizes)
     now = [np.repeat(w[None, :], d, axis=0).astype(np.float32).ravel() for w in weights]
     total, starts = np.zeros(d), np.cumsum(sizes) - sizes
@@ -388,7 +448,7 @@ def mixed(plain: np.ndarray, seen: list[np.ndarray], kind: np.ndarray, sizes: np
     rounds = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
     cuts = np.append(starts[text] + np.minimum(rounds, EARLY) * ROUND + np.maximum(rounds - EARLY, 0) * LATER, len(plain))
     order = np.argsort(rounds, kind="stable")
-    plain, gate, *seen = (_taken(x, cuts, order) for x in (plain, gate, *seen))
+    plain, gate, *seen = (_taken(_ragged(x, cuts), order, x.dtype) for x in (plain, gate, *seen))
     text, size = text[order], np.diff(cuts)[order]
     firsts = _runs(rounds[order])
     hi = 0
@@ -400,10 +460,11 @@ def mixed(plain: np.ndarray, seen: list[np.ndarray], kind: np.ndarray, sizes: np
         cell = np.repeat(active * GATES, n)
         cell += gate[lo:hi]
         xs = [plain[lo:hi].copy(), *(_SAYS.take(x[lo:hi]) for x in seen)]
-        odds = now[0].take(cell)
+        # Clipping does nothing to places within bounds, and is faster than checking them.
+        odds = now[0].take(cell, mode="clip")
         odds *= xs[0]
         for w, a in zip(now[1:], xs[1:]):
-            part = w.take(cell)
+            part = w.take(cell, mode="clip")
             part *= a
             odds += part
         np.clip(odds, -12, 12, out=odds)
@@ -439,10 +500,10 @@ class Unit:
         sizes = codes.sizes[(ordered[first] & np.uint64((1 << SYMBOL_BITS) - 1)).astype(np.int64)]
         if int(sizes.sum()) != len(values):
             raise RuntimeError("answers of another unit")
-        self.offsets = offsets = np.concatenate([[0], np.cumsum(sizes)])
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
         place = np.empty(len(every), np.int32)
-        place[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(every))))
-        self.values, n = values, len(symbols)
+        place[order] = _ranks(first, len(every))
+        n = len(symbols)
         self.order, self.first, self.deep = order, first, deep
         #: The places of each symbol's keys; where there is no long context, that of the short one again.
         self.short = place[:n]
@@ -458,6 +519,7 @@ class Unit:
         for k in range(SPLIT):
             at = one[size > k]
             values[offsets[self.short[at]] + k] = values[offsets[top[at]] + k]
+        self.values = _ragged(values, offsets)
 
     def scored(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability and last weights of each text; whole texts, about CHUNK symbols, at once: those of about a length, so that rounds have many texts."""
@@ -472,17 +534,20 @@ class Unit:
     def _scored(self, some: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = np.diff(self.at)[some]
         stops = np.cumsum(n)
-        plain, seen, kind, ends = self._known(np.repeat(self.at[some] - (stops - n), n) + np.arange(stops[-1]), self.codes.plain, self.values)
-        return mixed(plain, seen, kind, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], stops])]), weights)
-
-    def _known(self, s: np.ndarray, plain: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-        """Of the decisions of the symbols at some places, what is known without a context and in each, what is coded, and where each symbol's end."""
-        codes = self.codes
+        plain, short, long, kind, size = self._known(np.repeat(self.at[some] - (stops - n), n) + np.arange(stops[-1]), False)
+        kind <<= np.uint8(4)
+        kind += _SHORT_CLASS.take(short)
+        kind += _CLASS.take(long)
+        ends = np.cumsum(size, dtype=np.int64)
+        return mixed(plain, [short, long], kind, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], stops])]), weights)
+
+    def _known(self, s: np.ndarray, less: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the decisions of the symbols at some places, what is known without a context and in each, what is coded, and how many each symbol has. less: without a context as in plain_less."""
         symbols = self.symbols.take(s)
-        size = codes.sizes.take(symbols)
+        size = self.codes.sizes.take(symbols)
         kind = np.repeat(self.kind.take(s), size)
-        short, long = (_taken(values, self.offsets, x.take(s)) for x in (self.short, self.long))
-        return _taken(plain, codes.ways_at, symbols), [short, long * (kind != 2)], kind, np.cumsum(size, dtype=np.int64)
+        short, long = (_taken(self.values, x.take(s), np.uint8) for x in (self.short, self.long))
+        return _taken(self.codes.ways[less], symbols, np.uint8 if less else np.float32), short, long * (kind != 2), kind, size
 
     def learned(self, held: np.ndarray) -> np.ndarray:
         """How many decisions of the texts not held out there are of each cell: what is known from all occurrences but the decision's own. Equal symbols in equal contexts are looked at once, where they have a long context in that, else in the short one."""
@@ -494,15 +559,15 @@ class Unit:
         one, times = self.order.take(self.first.take(which)), times.take(which)
         long = one >= n
         one[long] = places.take(one[long] - n)
-        out, values = np.zeros(CELLS), _LESS.take(self.values)
+        out = np.zeros(CELLS, np.int64)
         for at in range(0, len(one), CHUNK):
-            s = one[at : at + CHUNK]
-            plain, seen, kind, _ = self._known(s, self.codes.plain_less, values)
-            cell = plain | seen[0].astype(np.int32) << 5
-            for k, x in ((11, seen[1]), (17, kind)):
-                cell |= x.astype(np.int32) << k
-            out += np.bincount(cell, np.repeat(times[at : at + CHUNK], self.codes.sizes.take(self.symbols.take(s))), CELLS)
-        return out.astype(np.int64)
+            plain, short, long, kind, size = self._known(one[at : at + CHUNK], True)
+            cell = _SHORT_LESS.take(short)
+            cell |= _LONG_LESS.take(long)
+            cell |= plain
+            cell |= kind.astype(np.int64) << 17
+            np.add.at(out, cell, np.repeat(times[at : at + CHUNK], size))
+        return out
 
 
 #: What is coded, and what is known in the long context, in the short one and without one, in 2, 6, 6 and 5 bits.
@@ -606,9 +671,10 @@ def _answer(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
         keys, times, place = _summed(keys, times)
         words, n, word_place = _summed(words, n)
         values, at = answers(codes, keys, times)
-        told = ((p, g, zipped.compress(np.array([d - c], "<i8").tobytes() + _packed((8,), n[word_place[c:d]].astype("<i8")) + _taken(values, at, place[a:b]).tobytes())) for (g, _), a, b, c, d in zip(messages, [0, *ends], ends, [0, *word_ends], word_ends))
-        while rows := list(islice(told, 64)):
-            yield _batch(rows)
+        rows = _ragged(values, at)
+        told = ((p, g, zipped.compress(np.array([d - c], "<i8").tobytes() + _packed((8,), n[word_place[c:d]].astype("<i8")) + _taken(rows, place[a:b], np.uint8).tobytes())) for (g, _), a, b, c, d in zip(messages, [0, *ends], ends, [0, *word_ends], word_ends))
+        while some := list(islice(told, 64)):
+            yield _batch(some)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -718,12 +784,25 @@ def _spelled(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, known = np.zeros(258, np.int64), shared.value
-        for batch in batches:
-            lost = pc.is_null(pc.index_in(batch.column(0).cast(pa.binary()), value_set=known))
-            words, n = batch.column(0).filter(lost), batch.column(1).filter(lost).to_numpy()
+
+        def add(some: list[pa.RecordBatch]) -> None:
+            rows = pa.Table.from_batches(some).combine_chunks()
+            tokens = rows.column(0).cast(pa.binary()).combine_chunks()
+            lost = pc.is_null(pc.index_in(tokens, value_set=known))
+            words, n = tokens.filter(lost), rows.column(1).combine_chunks().filter(lost).to_numpy()
             sums[[0, 257]] += n.sum()
-            each = np.repeat(n, pc.binary_length(words).to_numpy())
-            np.add.at(sums, np.frombuffer(b"".join(words.to_pylist()), np.uint8).astype(np.int64) + 1, each)
+            np.add.at(sums, _joined(words).astype(np.int64) + 1, np.repeat(n, pc.binary_length(words).to_numpy()))
+
+        # The words are put in a table of hashes for each look-up, so many batches share one.
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= UNIT_BYTES:
+                add(held)
+                held, size = [], 0
+        if held:
+            add(held)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(258)), pa.array(sums)], ["s", "n"])
 
     return run
